@@ -4,19 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontamination, jaccard_join
+from docloom.llm import bpe, decontamination, jaccard_join, kneser_ney, pii
 from docloom.llm.common import materialise, read
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the classifier rejects."""
+    return kneser_ney.fit(docs, read(spark, sf_dir, "labels")).keep(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one document of each group of similar ones."""
     return jaccard_join.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those into which a benchmark item leaked."""
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("n-gram jaccard join", near_duplicates), ("benchmark decontamination", benchmark_decontamination)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with personal data and secrets replaced by their kind."""
+    return pii.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of docs."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("pii", personal_data),
+    ("bpe encoding and decoding", tokens),
+]
 
 #: Near duplicates, tiling, votes and perplexities are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, jaccard_join, sharding, token_counts
+from docloom.llm import bpe, decontamination, jaccard_join, kneser_ney, pii, sharding, token_counts
 from docloom.llm.common import materialise, read, shared_dir
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they decode to its text."""
+    return bpe.encode(read(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and secrets in every document."""
+    return pii.spans(read(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that leaked into a document."""
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -62,8 +72,14 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(read(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that isn't rejected, with its perplexity and the threshold of its language and length."""
+    docs = read(spark, sf_dir, "documents")
+    return kneser_ney.fit(docs, read(spark, sf_dir, "labels")).accepted(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
