@@ -40,7 +40,7 @@ _FORMS = (
     ("email", re.compile(r"[^\s@<>()\[\]\"',;:|]+@[^\s@<>()\[\]\"',;:|]*[^\s@<>()\[\]\"',;:|.!?]"), 0),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), 0),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)"), 0),
-    ("card", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"), 0),
+    ("card", re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"), 0),
     ("key", re.compile(r"(?<![\w/+-])(?=[\w-]*\d)(?=[\w-]*[^\W\d_])[\w-]{16,}(?![\w/+-])"), 0),
     ("number", re.compile(r"(?<![\w.])\d[\d.,:/-]*(?!\w)"), 0),
 )
