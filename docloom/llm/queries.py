@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontamination, jaccard_join, kneser_ney, pii, sharding, token_counts
+from docloom.llm import bpe, decontamination, jaccard_join, kneser_ney, lexicon, pii, sharding, token_counts
 from docloom.llm.common import materialise, read, shared_dir
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that the induced lexicon finds toxic."""
+    return lexicon.toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they decode to its text."""
     return bpe.encode(read(spark, sf_dir, "documents"))
