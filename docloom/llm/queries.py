@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontamination, jaccard_join, kneser_ney, lexicon, pii, sharding, token_counts
+from docloom.llm import bpe, decontamination, jaccard_join, kneser_ney, lexicon, pii, pq, sharding, token_counts
 from docloom.llm.common import materialise, read, shared_dir
 
 
@@ -72,6 +72,17 @@ WITH low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM counted GROUP BY ALL"""
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of nearly equal embeddings."""
+    return pq.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+ p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT vec_a, vec_b, round(max(c), 4) AS cosine FROM p WHERE c >= {pq.THRESHOLD} GROUP BY vec_a, vec_b"""
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similar documents."""
     return jaccard_join.similar(read(spark, sf_dir, "documents"))
@@ -88,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.assign_sql(), "op6_token_counts": OP6_SQL}
+    return {"op5_sharding": sharding.assign_sql(), "op6_token_counts": OP6_SQL, "op8_embedding_near_dedup": OP8_SQL}
