@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontamination, jaccard_join, kneser_ney, lexicon, pii, pq, sharding, token_counts
+from docloom.llm import bpe, decontamination, jaccard_join, kneser_ney, lexicon, pii, pq, sharding, suffix_dedup, token_counts
 from docloom.llm.common import materialise, read, shared_dir
 
 
@@ -72,6 +72,11 @@ WITH low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM counted GROUP BY ALL"""
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of words that lies in a passage of 50 words or more which another document has too."""
+    return suffix_dedup.repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of nearly equal embeddings."""
     return pq.near_duplicates(read(spark, sf_dir, "embeddings"))
