@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, keep_ids, materialise, small_enough
+from docloom.llm.common import BROADCAST_BYTES, checked_broadcast, keep_ids, materialise, small_enough
 from docloom.llm.textvec import code_points, text_blocks
 
 N = 5
@@ -36,6 +36,8 @@ BOS, EOS = "\x02", "\x03"
 #: Lengths are told apart by the power of 4, from 4**_LOW to 4**_HIGH characters.
 _LOW, _HIGH = 2, 7
 _ROW_BYTES = 32
+#: The same for a side of a join while the model is built.
+_SIDE_BYTES = 100
 _HELD = 6_000_000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _LANG = np.uint64(0x589965CC75374CC3)
@@ -132,7 +134,8 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str], how: str = "inner") -> DataFrame:
-    """Join that takes two nulls as equal."""
+    """Join that takes two nulls as equal; b is sent to a if a count shows it to be small."""
+    b = checked_broadcast(b, _SIDE_BYTES)
     on = None
     for x, y in pairs:
         c = a[x].eqNullSafe(b[y])
@@ -143,20 +146,20 @@ def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str], how: str = "inner
 def train(docs: DataFrame, n: int = N) -> DataFrame:
     """(lang, gram, logp, backoff) of every gram of 1 to n symbols and every context, in the manner of an ARPA file.
 
-    logp is null for what was seen as a context only.  The empty gram's logp
-    is that of a symbol never seen.
+    One row has the logp of a gram, another the backoff of the same as a
+    context.  The empty gram's logp is that of a symbol never seen.
     """
     counts = materialise(gram_counts(docs, n), "grams")
     tables = [counts]
     for k in range(n - 1, 0, -1):  # continuation counts: kinds of symbols before
-        tables.append(tables[-1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
+        tables.append(materialise(tables[-1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), f"continued{k}"))
     lower, out = None, None
     for k, table in enumerate(reversed(tables), 1):
-        discount = _discounts(table)
+        discount = materialise(_discounts(table), f"discounts{k}")
         c, few = F.col("c"), lambda *x: F.sum((F.col("c") == x[0] if len(x) == 1 else F.col("c") >= x[0]).cast("long"))
         contexts = table.groupBy("lang", F.substring("gram", 1, k - 1).alias("ctx")).agg(F.sum("c").alias("total"), few(1).alias("m1"), few(2).alias("m2"), few(3, 4).alias("m3"))
         contexts = _same(contexts, discount.withColumnRenamed("lang", "l2"), ("lang", "l2"))
-        contexts = contexts.withColumn("gamma", (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total"))
+        contexts = materialise(contexts, f"contexts{k}").withColumn("gamma", (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total"))
         own = contexts.select(F.col("lang").alias("l3"), "ctx", "total", "gamma", "d1", "d2", "d3", (F.col("m1") + F.col("m2") + F.col("m3")).alias("kinds"))
         p = _same(table.withColumn("c1", F.substring("gram", 1, k - 1)), own, ("lang", "l3"), ("c1", "ctx"))
         d = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -174,7 +177,7 @@ def train(docs: DataFrame, n: int = N) -> DataFrame:
         else:
             rows = rows.union(unknown)
         out, lower = rows if out is None else out.union(rows), p
-    return out.groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+    return out
 
 
 class Table:
@@ -197,6 +200,12 @@ class Table:
         self.unknown = {numbers[lang[i]]: float(logp[i]) for i in np.flatnonzero(size == 0).tolist()}
         real = size > 0
         key, logp, backoff = key[real], np.asarray(logp, np.float32)[real], np.asarray(backoff, np.float32)[real]
+        key, row = np.unique(key, return_inverse=True)  # logp and backoff come in rows of their own
+        merged = np.full((2, len(key)), np.nan, np.float32)
+        for column, values in zip(merged, (logp, backoff)):
+            there = ~np.isnan(values)
+            column[row[there]] = values[there]
+        logp, backoff = merged
         bits = max(10, int(np.ceil(np.log2(4 * len(key) + 1))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.key = np.zeros(1 << bits, np.uint64)
@@ -318,7 +327,7 @@ def _joined(docs: DataFrame, model: DataFrame, n: int) -> DataFrame:
     out = keyed.mapInArrow(run, "row string, doc_id long, lang string, band long, chars long, gram string, times long")
     out = out.withColumn("weight", F.lit(0.0)).withColumn("found", F.lit(None).cast("double"))
     for k in range(n, -1, -1):
-        side = model.select(F.col("lang").alias("l2"), F.col("gram").alias("g2"), F.col("logp").alias("lp"))
+        side = model.filter("logp IS NOT NULL").select(F.col("lang").alias("l2"), F.col("gram").alias("g2"), F.col("logp").alias("lp"))
         if k < n:
             bows = model.filter("backoff IS NOT NULL").select(F.col("lang").alias("l3"), F.col("gram").alias("g3"), "backoff")
             out = _same(out.withColumn("ctx", F.expr(f"substring(gram, {n - k}, {k})")), bows, ("lang", "l3"), ("ctx", "g3"), how="left").drop("ctx")
