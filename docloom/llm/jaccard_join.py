@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import keep_ids, materialise
+from docloom.llm.common import checked_broadcast, keep_ids, materialise
 from docloom.llm.textvec import Words, gram_hashes, mix, text_blocks
 
 N = 3
@@ -215,11 +215,13 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("gram").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """pairs whose true similarity is at least the threshold, with it.
+def _bring(docs: DataFrame, pairs: DataFrame, n: int, pack, check) -> DataFrame:
+    """(a, b, jaccard) of the pairs for which check gives a number.
 
+    pack turns a sorted n-gram set into bytes; check gets the pairs (as
+    numbers of documents, ordered by the first) and the documents' bytes.
     Pairs that hang together are brought to one place with one copy of each
-    document's set, rather than a copy for each pair.
+    document's bytes, rather than a copy for each pair.
     """
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     least = ends.groupBy("id").agg(F.least(F.min("id"), F.min("other")).alias("lead"))
@@ -229,59 +231,108 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> Da
     crowd = placed.groupBy("lead").agg(F.ceil(F.count("*") / 200_000).alias("parts"))
     placed = placed.join(crowd, "lead").select("a", "b", F.xxhash64("lead", F.pmod(F.xxhash64("a"), "parts")).alias("spot"))
     placed = materialise(placed, "pairs")
-    wanted = placed.select(F.col("a").alias("id"), "spot").union(placed.select("b", "spot")).distinct()
+    wanted = materialise(placed.select(F.col("a").alias("id"), "spot").union(placed.select("b", "spot")).distinct(), "wanted")
 
     schema = pa.schema([("id", pa.int64()), ("grams", pa.binary())])
 
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, doc, g, _ in _scan(batches, n):
             first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-            data = [x.tobytes() for x in np.split(g, first[1:])] if len(first) else []
+            data = [pack(x) for x in np.split(g, first[1:])] if len(first) else []
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[first])), pa.array(data, pa.binary())], schema=schema)
 
     some = keep_ids(docs, least.select(F.col("id").alias("doc_id")), "left_semi").select("doc_id", "text")
-    held = some.mapInArrow(whole_sets, "id long, grams binary").join(wanted, "id").select("spot", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    held = some.mapInArrow(packed, "id long, grams binary").join(checked_broadcast(wanted, 24), "id").select("spot", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     both = held.unionByName(placed.select("spot", "a", "b", F.lit(None).cast("binary").alias("grams"))).repartition("spot")
-    result = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _whole(batches)
         if table is None:
             return
-        import pandas as pd
-
         a, b = table.column("a").to_numpy(), table.column("b").to_numpy(zero_copy_only=False)
         is_set = np.asarray(table.column("b").is_null())
-        have: dict[int, np.ndarray] = {}
+        have: dict[int, list[bytes]] = {}
         blobs = table.column("grams").filter(pa.array(is_set))
         for ident, blob in zip(a[is_set].tolist(), blobs.to_pylist()):
-            have.setdefault(ident, np.frombuffer(blob, np.uint64))
+            have.setdefault(ident, []).append(blob)
         if not have or is_set.all():
             return
-        names = list(have)
-        size = np.array([len(have[x]) for x in names])
+        of = {x: (k, len(v)) for (x, v), k in zip(have.items(), np.cumsum([0] + [len(v) for v in have.values()]).tolist())}
+        rows = [(i, j, x, y) for x, y in zip(a[~is_set].tolist(), b[~is_set].astype(np.int64).tolist()) for i in range(of[x][0], sum(of[x])) for j in range(of[y][0], sum(of[y]))]
+        left, right, x, y = (np.array(c, np.int64) for c in zip(*rows))
+        by = np.lexsort((right, left))
+        left, right, x, y = left[by], right[by], x[by], y[by]
+        value = check(left, right, [blob for v in have.values() for blob in v])
+        ok = ~np.isnan(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok]), pa.array(value[ok])], schema=result)
+
+    return both.mapInArrow(verify, "a long, b long, jaccard double")
+
+
+def _tallies(g: np.ndarray) -> bytes:
+    """How many n-grams fall into each of about half as many cells."""
+    cells = 1 << max(4, len(g).bit_length() - 1)
+    return np.bincount((g & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8).tobytes()
+
+
+def _may_be(threshold: float):
+    """A bound from the tallies: two sets share no more in a cell than the lesser tally; a cell of 255 may hold any number."""
+
+    def check(left: np.ndarray, right: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+        tally = [np.frombuffer(x, np.uint8) for x in blobs]
+        size = [int(t.sum(dtype=np.int64)) if not (t == 255).any() else 1 << 40 for t in tally]
+        out = np.full(len(left), np.nan)
+        for k, (i, j) in enumerate(zip(left.tolist(), right.tolist())):
+            x, y = tally[i], tally[j]
+            if len(x) < len(y):
+                x, y = y, x
+            if len(x) > len(y):
+                x = x.reshape(-1, len(y)).sum(0, dtype=np.int64)
+            most = int(np.minimum(x, y).sum(dtype=np.int64))
+            if most >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9 or max(size[i], size[j]) >= 1 << 40:
+                out[k] = 1.0
+        return out
+
+    return check
+
+
+def _six_bytes(g: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash."""
+    return (g >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _is(threshold: float):
+    def check(left: np.ndarray, right: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+        import pandas as pd
+
+        size = np.array([len(x) // 6 for x in blobs])
         start = np.concatenate(([0], np.cumsum(size)))
-        flat, uniques = pd.factorize(np.concatenate([have[x] for x in names]))
-        number = {x: k for k, x in enumerate(names)}
+        wide = np.zeros((int(start[-1]), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+        flat, uniques = pd.factorize(wide.view("<u8").ravel())
         mark = np.zeros(len(uniques), bool)
-        pa_, pb_ = a[~is_set], b[~is_set].astype(np.int64)
-        by = np.lexsort((pb_, pa_))
-        pa_, pb_ = pa_[by], pb_[by]
-        heads = np.flatnonzero(np.concatenate(([True], pa_[1:] != pa_[:-1])))
-        for lo, hi in zip(heads, np.append(heads[1:], len(pa_))):
-            k = number[int(pa_[lo])]
+        out = np.full(len(left), np.nan)
+        heads = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
+        for lo, hi in zip(heads, np.append(heads[1:], len(left))):
+            k = left[lo]
             own = flat[start[k] : start[k + 1]]
             mark[own] = True
-            other = np.array([number[x] for x in pb_[lo:hi].tolist()])
+            other = right[lo:hi]
             cells = np.concatenate([flat[start[o] : start[o + 1]] for o in other])
             common = np.add.reduceat(mark[cells].astype(np.int64), np.concatenate(([0], np.cumsum(size[other])[:-1])))
             mark[own] = False
             value = common / (size[k] + size[other] - common)
-            ok = value >= threshold - 1e-12
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(pa_[lo:hi][ok]), pa.array(pb_[lo:hi][ok]), pa.array(value[ok])], schema=result)
+            out[lo:hi] = np.where(value >= threshold - 1e-12, value, np.nan)
+        return out
 
-    return both.mapInArrow(verify, "doc_a long, doc_b long, jaccard double")
+    return check
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """pairs whose true similarity is at least the threshold, with it; small tallies rule out most of the others before whole sets are moved."""
+    maybe = materialise(_bring(docs, pairs, n, _tallies, _may_be(threshold)).select("a", "b").distinct(), "maybe")
+    return _bring(docs, maybe, n, _six_bytes, _is(threshold)).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
 
 
 def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
