@@ -263,7 +263,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     again = materialise(counted.filter("n > 1").select("seed"), "seeds")
     shared = spark.sparkContext.broadcast(_bitmap(again))
     folder = shared_dir(spark)
-    local = folder[len("file://") :] if folder.startswith("file://") else None
+    local = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else None
     schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
