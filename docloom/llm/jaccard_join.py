@@ -150,15 +150,48 @@ def signatures(docs: DataFrame, n: int, threshold: float, shared) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
+_PARTS = ((6, "gram"), (8, "id"), (4, "place"), (4, "size"))
+
+
+def _planes(a: np.ndarray, n: int) -> bytes:
+    """The n lower bytes of each number, all first bytes first: those that are all alike compress well."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def _from_planes(data: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((data.size // n, 8), np.uint8)
+    out[:, :n] = data.reshape(n, -1).T
+    return out.view("<u8").ravel()
+
+
 def _prefix_rows(docs: DataFrame, n: int, threshold: float, shared) -> DataFrame:
-    schema = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("place", pa.int32()), ("size", pa.int32())])
+    """(bucket, rows): the prefix n-grams (upper 48 bits, document, place, size) of a block of texts, one row for each bucket of n-grams."""
+    schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, doc, g, _ in _scan(batches, n):
             g, doc, place, size, keep, _, _ = _prefixes(doc, g, shared.value, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(g[keep].view(np.int64)), ids.take(pa.array(doc[keep])), pa.array(place[keep].astype(np.int32)), pa.array(size[keep].astype(np.int32))], schema=schema)
+            g, place, size, ident = g[keep], place[keep], size[keep], ids.to_numpy()[doc[keep]]
+            bucket = (g % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], np.diff(bucket[by]) != 0))) if len(by) else np.zeros(0, np.int64)
+            data = [b"".join(_planes(c[some], k) for c, (k, _) in zip((g >> np.uint64(16), ident, place, size), _PARTS)) for some in np.split(by, first[1:])] if len(first) else []
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[by][first]), pa.array(data, pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "bucket int, rows binary")
+
 
-    return docs.mapInArrow(run, "gram long, id long, place int, size int")
+def _unpacked(rows: pa.Array) -> list[np.ndarray]:
+    """Columns gram, id, place and size of all rows."""
+    out: list[list[np.ndarray]] = [[] for _ in _PARTS]
+    for blob in rows.to_pylist():
+        data = np.frombuffer(blob, np.uint8)
+        m, at = len(data) // sum(k for k, _ in _PARTS), 0
+        for column, (k, _) in zip(out, _PARTS):
+            column.append(_from_planes(data[at : at + k * m], k))
+            at += k * m
+    return [np.concatenate(c).view(np.int64) for c in out]
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -174,9 +207,9 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
         table = _whole(batches)
         if table is None:
             return
-        gram, ident, place, size = (table.column(i).to_numpy() for i in range(4))
+        gram, ident, place, size = _unpacked(table.column(1))
         by = np.lexsort((size, gram))
-        gram, place, size = gram[by], place[by].astype(np.int64), size[by].astype(np.int64)
+        gram, place, size = gram[by], place[by], size[by]
         names, ident = np.unique(ident[by], return_inverse=True)
         run_end = np.searchsorted(gram, gram, side="right")
         # partners of a row: later rows of its n-gram that are not too large
@@ -212,7 +245,7 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
             both = np.unique(np.concatenate(found))
             yield pa.RecordBatch.from_arrays([pa.array(names[x]) for x in divmod(both, len(names))], schema=schema)
 
-    return rows.repartition("gram").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("bucket").mapInArrow(run, "a long, b long").distinct()
 
 
 def _bring(docs: DataFrame, pairs: DataFrame, n: int, pack, check) -> DataFrame:
@@ -271,26 +304,30 @@ def _bring(docs: DataFrame, pairs: DataFrame, n: int, pack, check) -> DataFrame:
 
 
 def _tallies(g: np.ndarray) -> bytes:
-    """How many n-grams fall into each of about half as many cells."""
-    cells = 1 << max(4, len(g).bit_length() - 1)
-    return np.bincount((g & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8).tobytes()
+    """How many n-grams, up to 15, fall into each of about a third as many cells; two cells in a byte."""
+    cells = 1 << max(4, len(g).bit_length() - 2)
+    tally = np.minimum(15, np.bincount((g & np.uint64(cells - 1)).astype(np.int64), minlength=cells)).astype(np.uint8)
+    return (tally[: cells // 2] | tally[cells // 2 :] << 4).tobytes()
 
 
 def _may_be(threshold: float):
-    """A bound from the tallies: two sets share no more in a cell than the lesser tally; a cell of 255 may hold any number."""
+    """A bound from the tallies: two sets share no more in a cell than the lesser tally; a cell of 15 may hold any number."""
 
     def check(left: np.ndarray, right: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-        tally = [np.frombuffer(x, np.uint8) for x in blobs]
-        size = [int(t.sum(dtype=np.int64)) if not (t == 255).any() else 1 << 40 for t in tally]
+        both = [np.frombuffer(x, np.uint8) for x in blobs]
+        tally = [np.concatenate([x & 15, x >> 4]) for x in both]
+        size = [int(t.sum(dtype=np.int64)) if t.max() < 15 else -1 for t in tally]
         out = np.full(len(left), np.nan)
         for k, (i, j) in enumerate(zip(left.tolist(), right.tolist())):
             x, y = tally[i], tally[j]
+            if size[i] < 0 or size[j] < 0:
+                out[k] = 1.0
+                continue
             if len(x) < len(y):
                 x, y = y, x
             if len(x) > len(y):
                 x = x.reshape(-1, len(y)).sum(0, dtype=np.int64)
-            most = int(np.minimum(x, y).sum(dtype=np.int64))
-            if most >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9 or max(size[i], size[j]) >= 1 << 40:
+            if int(np.minimum(x, y).sum(dtype=np.int64)) >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9:
                 out[k] = 1.0
         return out
 
