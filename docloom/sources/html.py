@@ -26,11 +26,12 @@ _ENDS = {
 }
 _NEVER = frozenset("script style noscript iframe svg canvas video audio object embed".split())
 _AROUND = frozenset("nav footer aside header".split())
-_SKIP_NAMES = re.compile(r"(?:ad|ads|advert|banner|comments?|sidebar|widget|social|share|related|recommended|newsletter|popup|modal|cookie|gdpr|nav|navigation|menu|footer|header)", re.I)
+#: What a class or id of something around the text begins with.
+_SKIP_NAMES = re.compile("|".join(sorted("gdpr cookie popup modal newsletter recommended related share social widget sidebar comment banner ad menu nav header footer".split())), re.I)
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary".split())
 _MAIN_IDS = ("content", "main", "main-content", "article", "post", "entry")
 _MAIN_CLASSES = ("content", "main-content", "article", "post-content", "entry-content")
-_LANGUAGES = frozenset("python javascript typescript java go rust ruby php c cpp csharp swift kotlin scala sql bash shell json yaml xml html css markdown plaintext text".split())
+_LANGUAGES = frozenset("bash c cpp csharp css go golang html java javascript js json kotlin markdown php python ruby rust shell sql swift ts typescript xml yaml".split())
 
 
 class Node:

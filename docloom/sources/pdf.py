@@ -15,8 +15,8 @@ from docloom.sources.structure import Structure
 
 DEFAULT_SIZE = 12.0
 MIN_RATIO = 1.15
-#: Openings of lines that are captions or references rather than headings.
-NOT_HEADINGS = ("figure", "fig.", "table", "http", "www.", "arxiv", "doi", "©", "copyright", "page ")
+#: Openings of notices and addresses rather than headings.
+NOT_HEADINGS = ("arxiv:", "copyright ", "doi:", "http://", "https://", "permission ", "provided ", "reproduce ")
 
 
 def body_sizes(lines: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def likely_heading(text: Column) -> Column:
     bad = F.lit(False)
     for p in NOT_HEADINGS:
         bad = bad | opening.startswith(p)
-    return F.length(t).between(2, 150) & ~t.contains(". ") & (letters * 2 >= F.length(t)) & ~bad & ~t.endswith("*") & ~t.endswith("∗")
+    return F.length(t).between(2, 150) & ~F.regexp_replace(t, r".$", "").contains(". ") & (letters * 2 >= F.length(t)) & ~bad & ~t.endswith("*") & ~t.endswith("∗")
 
 
 def heading_level(ratio: Column, bold: Column, min_ratio: float = MIN_RATIO) -> Column:
