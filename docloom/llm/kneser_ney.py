@@ -37,7 +37,7 @@ BOS, EOS = "\x02", "\x03"
 _LOW, _HIGH = 2, 7
 _ROW_BYTES = 32
 #: The same for a side of a join while the model is built.
-_SIDE_BYTES = 100
+_SIDE_BYTES, _SIDE_LIMIT = 100, 16 << 20
 _HELD = 6_000_000
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _LANG = np.uint64(0x589965CC75374CC3)
@@ -135,7 +135,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str], how: str = "inner") -> DataFrame:
     """Join that takes two nulls as equal; b is sent to a if a count shows it to be small."""
-    b = checked_broadcast(b, _SIDE_BYTES)
+    b = checked_broadcast(b, _SIDE_BYTES, _SIDE_LIMIT)
     on = None
     for x, y in pairs:
         c = a[x].eqNullSafe(b[y])
@@ -180,33 +180,47 @@ def train(docs: DataFrame, n: int = N) -> DataFrame:
     return out
 
 
+def _gram_hashes(model: DataFrame, n: int) -> DataFrame:
+    """(key, logp, backoff) of the model's rows, and the number of the language as key in those of the empty gram, which have `empty` set."""
+    schema = pa.schema([("key", pa.int64()), ("logp", pa.float32()), ("backoff", pa.float32()), ("empty", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, gram = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            numbers = {x: lang_number(x) for x in set(lang)}
+            of = np.array([numbers[x] for x in lang], np.uint64)
+            size = np.fromiter((len(g) for g in gram), np.int64, len(gram))
+            key = of.copy()
+            for k in range(1, n + 1):
+                at = np.flatnonzero(size == k)
+                if len(at):
+                    arr = code_points("".join(gram[i] for i in at.tolist())).reshape(-1, k).astype(np.uint64)
+                    h = of[at] * _LANG + np.uint64(k) * _ORDER
+                    for j in range(k):
+                        h = h + (arr[:, k - 1 - j] + np.uint64(1)) * _K[j]
+                    key[at] = h
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2).cast(pa.float32()), batch.column(3).cast(pa.float32()), pa.array(size == 0)], schema=schema)
+
+    return model.select("lang", "gram", "logp", "backoff").mapInArrow(run, "key long, logp float, backoff float, empty boolean")
+
+
 class Table:
     """The model as an open-addressing hash table."""
 
-    def __init__(self, lang: list[str | None], gram: list[str], logp: np.ndarray, backoff: np.ndarray, n: int):
+    def __init__(self, rows: pa.Table, n: int):
         self.n = n
-        numbers = {x: lang_number(x) for x in set(lang)}
-        of = np.array([numbers[x] for x in lang], np.uint64)
-        size = np.fromiter((len(g) for g in gram), np.int64, len(gram))
-        key = np.zeros(len(gram), np.uint64)
-        for k in range(1, n + 1):
-            at = np.flatnonzero(size == k)
-            if len(at):
-                arr = code_points("".join(gram[i] for i in at.tolist())).reshape(-1, k).astype(np.uint64)
-                h = of[at] * _LANG + np.uint64(k) * _ORDER
-                for j in range(k):
-                    h = h + (arr[:, k - 1 - j] + np.uint64(1)) * _K[j]
-                key[at] = h
-        self.unknown = {numbers[lang[i]]: float(logp[i]) for i in np.flatnonzero(size == 0).tolist()}
-        real = size > 0
-        key, logp, backoff = key[real], np.asarray(logp, np.float32)[real], np.asarray(backoff, np.float32)[real]
+        key = rows.column("key").to_numpy().view(np.uint64)
+        logp, backoff = (rows.column(c).to_numpy() for c in ("logp", "backoff"))
+        real = ~rows.column("empty").to_numpy()
+        self.unknown = {int(key[i]): float(logp[i]) for i in np.flatnonzero(~real).tolist()}
+        key, logp, backoff = key[real], logp[real], backoff[real]
         key, row = np.unique(key, return_inverse=True)  # logp and backoff come in rows of their own
         merged = np.full((2, len(key)), np.nan, np.float32)
         for column, values in zip(merged, (logp, backoff)):
             there = ~np.isnan(values)
             column[row[there]] = values[there]
         logp, backoff = merged
-        bits = max(10, int(np.ceil(np.log2(4 * len(key) + 1))))
+        bits = max(10, int(np.ceil(np.log2(2 * len(key) + 1))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.key = np.zeros(1 << bits, np.uint64)
         self.logp, self.backoff = np.full(1 << bits, np.nan, np.float32), np.full(1 << bits, np.nan, np.float32)
@@ -288,9 +302,7 @@ def _score_blocks(shared, langs: list, texts: list) -> Iterator[tuple[slice, np.
 
 
 def _broadcast(model: DataFrame, n: int):
-    t = model.select("lang", "gram", "logp", "backoff").toArrow()
-    logp, backoff = (t.column(k).cast(pa.float64()).to_numpy() for k in (2, 3))
-    return model.sparkSession.sparkContext.broadcast(Table(t.column(0).to_pylist(), t.column(1).to_pylist(), logp, backoff, n))
+    return model.sparkSession.sparkContext.broadcast(Table(_gram_hashes(model, n).toArrow(), n))
 
 
 def _scan(docs: DataFrame, shared) -> DataFrame:
