@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
