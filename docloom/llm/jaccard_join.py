@@ -6,9 +6,10 @@ among their first n - ceil(t n) + 1.  Documents with the same prefix and the
 same size form one group; group pairs are filtered by size and by the places
 of the shared n-gram, then expanded into members and verified exactly.
 
-Documents with one and the same set are represented by that of lowest id, and
-each other such document is paired with it alone, so thousands of copies give
-thousands of pairs rather than millions.
+While pairs are sought, documents with one and the same set are represented by
+that of lowest id.  `every_pair` expands the verified pairs of sets, and each set
+with itself, into all pairs of their documents; `similar` pairs each copy with
+its representative alone, which is enough to tell what hangs together.
 
 The order only has to be the same for all documents, so frequencies need not
 be exact: an n-gram ranks by the logarithm of its highest count in any one
@@ -35,6 +36,8 @@ FREQUENT = 4
 MOST_RANKED = 4_000_000
 _WINDOW_CHARS = 32_000_000
 _PAIR_BLOCK = 2_000_000
+#: Members of one set that are paired in one place.
+_MEMBERS = 1000
 
 
 def sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +252,7 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _bring(docs: DataFrame, pairs: DataFrame, n: int, pack, check) -> DataFrame:
-    """(a, b, jaccard) of the pairs for which check gives a number.
+    """(a, b, set_a, set_b, jaccard) of the pairs for which check gives a number; set_a and set_b are set1 of the texts compared.
 
     pack turns a sorted n-gram set into bytes; check gets the pairs (as
     numbers of documents, ordered by the first) and the documents' bytes.
@@ -271,13 +274,14 @@ def _bring(docs: DataFrame, pairs: DataFrame, n: int, pack, check) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, doc, g, _ in _scan(batches, n):
             first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-            data = [pack(x) for x in np.split(g, first[1:])] if len(first) else []
+            names = np.add.reduceat(mix(g), first) if len(first) else g
+            data = [name.tobytes() + pack(x) for name, x in zip(names, np.split(g, first[1:]))] if len(first) else []
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[first])), pa.array(data, pa.binary())], schema=schema)
 
     some = keep_ids(docs, least.select(F.col("id").alias("doc_id")), "left_semi").select("doc_id", "text")
     held = some.mapInArrow(packed, "id long, grams binary").join(checked_broadcast(wanted, 24), "id").select("spot", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     both = held.unionByName(placed.select("spot", "a", "b", F.lit(None).cast("binary").alias("grams"))).repartition("spot")
-    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("jaccard", pa.float64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _whole(batches)
@@ -296,11 +300,13 @@ def _bring(docs: DataFrame, pairs: DataFrame, n: int, pack, check) -> DataFrame:
         left, right, x, y = (np.array(c, np.int64) for c in zip(*rows))
         by = np.lexsort((right, left))
         left, right, x, y = left[by], right[by], x[by], y[by]
-        value = check(left, right, [blob for v in have.values() for blob in v])
+        whole = [blob for v in have.values() for blob in v]
+        name = np.frombuffer(b"".join(blob[:8] for blob in whole), np.int64)
+        value = check(left, right, [blob[8:] for blob in whole])
         ok = ~np.isnan(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok]), pa.array(value[ok])], schema=result)
+        yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (x, y, name[left], name[right], value)], schema=result)
 
-    return both.mapInArrow(verify, "a long, b long, jaccard double")
+    return both.mapInArrow(verify, "a long, b long, set_a long, set_b long, jaccard double")
 
 
 def _tallies(g: np.ndarray) -> bytes:
@@ -367,27 +373,17 @@ def _is(threshold: float):
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """pairs whose true similarity is at least the threshold, with it; small tallies rule out most of the others before whole sets are moved."""
+    """(a, b, set_a, set_b, jaccard) of the pairs whose true similarity is at least the threshold; small tallies rule out most of the others before whole sets are moved."""
     maybe = materialise(_bring(docs, pairs, n, _tallies, _may_be(threshold)).select("a", "b").distinct(), "maybe")
-    return _bring(docs, maybe, n, _six_bytes, _is(threshold)).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
+    return _bring(docs, maybe, n, _six_bytes, _is(threshold))
 
 
-def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: similar pairs of documents.
-
-    Complete but for copies: of documents with equal n-gram sets only the
-    lowest id is compared with others, and the rest are paired with it, at
-    1.0.  Rows without an id or without words are in no pair; a text of fewer
-    than n words is one n-gram; rows that repeat an id with other texts count
-    as one document whose pairs are those of any of its texts.  An empty
-    table gives no pairs; other columns are not looked at.
-    """
+def _pairs_of_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """signatures; (n, set1, set2, prefix, rep, copies) of each set; and the verified pairs of representatives, where an id of several texts is paired with itself too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     shared = _order(docs, n)
     sig = materialise(signatures(docs, n, threshold, shared).distinct(), "signatures")
     reps = sig.groupBy("n", "set1", "set2", "prefix").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    many = reps.filter("copies > 1").drop("copies", "prefix")
-    copies = sig.join(many, ["n", "set1", "set2"]).filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     groups = reps.groupBy("n", "prefix").agg(F.min("rep").alias("head"), F.count("*").alias("members"))
     member = materialise(reps.join(groups, ["n", "prefix"]).select("head", "rep", "members"), "groups")
     heads = member.filter("head = rep").select(F.col("head").alias("doc_id"))
@@ -397,12 +393,52 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     crowd = member.filter("members > 1")
     inside = crowd.select("head", F.col("rep").alias("a")).join(crowd.select("head", F.col("rep").alias("b")), "head").filter("a < b").select("a", "b")
     left, right = member.select(F.col("head").alias("a"), F.col("rep").alias("x")), member.select(F.col("head").alias("b"), F.col("rep").alias("y"))
-    across = between.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = materialise(inside.union(across).filter("a <> b").distinct(), "candidates")
-    found = _verified(docs, pairs, n, threshold)
+    across = between.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b")
+    own = member.groupBy("rep").count().filter("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    pairs = materialise(inside.union(across).union(own).distinct(), "candidates")
+    return sig, reps, _verified(docs, pairs, n, threshold)
+
+
+def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: similar pairs of documents.
+
+    Complete but for copies: of documents with equal n-gram sets only the
+    lowest id is compared with others, and the rest are paired with it, at
+    1.0.  Rows without an id or without words are in no pair; a text of fewer
+    than n words is one n-gram; rows that repeat an id with other texts count
+    as one document whose pairs are those of any of its texts.  An empty
+    table gives no pairs; other columns are not looked at.
+    """
+    sig, reps, found = _pairs_of_sets(docs, n, threshold)
+    many = reps.filter("copies > 1").drop("copies", "prefix")
+    copies = sig.join(many, ["n", "set1", "set2"]).filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    found = found.filter("a <> b").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
     return copies.union(found).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def every_pair(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: every similar pair of documents, copies among them.
+
+    k documents with equal n-gram sets give all their k(k-1)/2 pairs at 1.0,
+    and each of them has the pairs that any of them has.  As to nulls, short
+    texts, ids that repeat and empty tables it is as `similar`.
+    """
+    sig, reps, found = _pairs_of_sets(docs, n, threshold)
+    parts = materialise(reps.select(F.col("set1").alias("name"), "copies", F.ceil(F.col("copies") / _MEMBERS).alias("parts")), "sets")
+    same = parts.filter("copies > 1").select(F.col("name").alias("set_a"), F.col("name").alias("set_b"), F.lit(1.0).alias("jaccard"))
+    differ = found.filter("set_a <> set_b").select(F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"), "jaccard").distinct()
+    pairs = same.union(differ)
+    member = sig.select(F.col("set1").alias("name"), "doc_id").join(parts, "name").select("name", "doc_id", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"))
+    member = materialise(member, "members")
+    for side in "ab":  # the members of a large set are spread over several parts
+        count = parts.select(F.col("name").alias(f"set_{side}"), "parts")
+        pairs = pairs.join(count, f"set_{side}").withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    for side in "ab":
+        pairs = pairs.join(member.select(F.col("name").alias(f"set_{side}"), F.col("part").alias(f"part_{side}"), F.col("doc_id").alias(side)), [f"set_{side}", f"part_{side}"])
+    pairs = pairs.filter("a < b OR (a > b AND set_a <> set_b)")
+    return pairs.groupBy(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, group): connected groups of pairs, named by their lowest id; the lowest id itself has a row too.
 

@@ -89,8 +89,8 @@ SELECT vec_a, vec_b, round(max(c), 4) AS cosine FROM p WHERE c >= {pq.THRESHOLD}
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similar documents."""
-    return jaccard_join.similar(read(spark, sf_dir, "documents"))
+    """Every pair of similar documents."""
+    return jaccard_join.every_pair(read(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
