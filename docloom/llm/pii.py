@@ -10,13 +10,16 @@ of patterns whose size depends on the labelers and not on the data.
 Expectation-maximisation estimates, without labels, how often each labeler
 votes which way on true and on false candidates, and the share of true ones of
 each kind.  Its posteriors then train a logistic span classifier on features of
-the span itself, and that classifier decides every candidate.
+the span itself, and that classifier decides every candidate.  Each form
+proposes its candidates whatever the others propose; overlaps are resolved
+among those that were accepted.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,8 @@ _FORMS = (
     ("secret", re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([^\s\"',;]{4,})"), 1),
     ("email", re.compile(r"[^\s@<>()\[\]\"',;:|]+@[^\s@<>()\[\]\"',;:|]*[^\s@<>()\[\]\"',;:|.!?]"), 0),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), 0),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)"), 0),
+    # international, in groups of any length; groups of two; an area code and a long group; groups of three and four
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]\d{2,8}){1,5}(?!\w|[.-]\d)|(?<![\w+.-])\d{2}(?:[ .-]\d{2}){3,4}(?![\w]|[.-]\d)|(?<![\w+.-])\(?\d{2,5}\)?[ /-]\d{5,8}(?!\w)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)"), 0),
     ("card", re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"), 0),
     ("key", re.compile(r"(?<![\w/+-])(?=[\w-]*\d)(?=[\w-]*[^\W\d_])[\w-]{16,}(?![\w/+-])"), 0),
     ("number", re.compile(r"(?<![\w.])\d[\d.,:/-]*(?!\w)"), 0),
@@ -48,10 +52,12 @@ _STRICT = {
     "secret": re.compile(r"[\x21-\x7e]{6,}$"),
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"),
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}$"),
-    "phone": re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}$|\(\d{3}\) ?\d{3}-\d{4}$"),
+    "phone": re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}$|\(\d{3}\) ?\d{3}-\d{4}$|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]\d{2,8}){1,5}$|0\d(?:[ .-]\d{2}){4}$|\(?0\d{1,4}\)?[ /-]\d{5,8}$"),
     "card": re.compile(r"\d{13,19}$|\d{4}(?:[ -]\d{4}){3}$"),
     "key": re.compile(r"(?:[A-Z]{2,6}[A-Z0-9]{12,}|[a-z]{2,4}[_-][A-Za-z0-9_-]{16,}|[0-9a-f]{24,})$"),
 }
+#: Four numbers between dots are an address, not a phone number in groups.
+_DOTTED = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}$")
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co dev app de fr es it uk eu us ca ch at be nl pl pt se no fi dk ru cn jp in br mx au example test local".split())
 COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 354 358 420 421".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "6011", "65", "35", "36", "38", "62")
@@ -85,7 +91,7 @@ def _checks(kind: str, span: str) -> int:
     if kind == "ip":
         return 1 if all(int(x) < 256 for x in span.split(".")) else -1
     if kind == "phone":
-        return 1 if 8 <= len(digits) <= 15 else -1
+        return 1 if 8 <= len(digits) <= 15 and not _DOTTED.match(span) else -1
     if kind == "email":
         return 1 if span.count("@") == 1 and "." in span.partition("@")[2] and ".." not in span else -1
     if kind in ("key", "secret"):
@@ -115,9 +121,16 @@ def _before(kind: str, left: str) -> int:
     return -1 if _AGAINST.search(left) else 1 if _CUES[kind].search(left) else 0
 
 
-def _beside(kind: str, left: str, right: str) -> int:
+def _runs_on(kind: str, span: str, left: str, right: str) -> bool:
+    """Whether one more group of digits stands beside a phone number, as where it is a part of a card's."""
+    return kind == "phone" and bool(re.match(r"[ .-]\d+(?!\w|\.\d)", right) or span[0] != "+" and re.search(r"(?<![\w.])\d{1,7}[ .-]$", left))
+
+
+def _beside(kind: str, span: str, left: str, right: str) -> int:
     """Whether the span stands alone, or is part of something longer."""
     a, b = left[-1:] or " ", right[:1] or " "
+    if _runs_on(kind, span, left, right):
+        return -1
     return 1 if (a.isspace() or a in "\"'(<[=:,;") and (b.isspace() or b in "\"')>].,;:!?") else -1
 
 
@@ -133,22 +146,18 @@ def features(kind: str, span: str, left: str, right: str) -> tuple[int, ...]:
     n = len(span)
     digits, upper = sum(c.isdigit() for c in span), sum(c.isupper() for c in span)
     letters = sum(c.isalpha() for c in span)
-    return (KINDS.index(kind), _clip(n, 4, 8, 12, 16, 20, 32), _clip(digits, 1, 4, 7, 10, 13, 17), int(4 * digits / n), int(2 * upper / max(1, letters)), _clip(sum(not c.isalnum() for c in span), 1, 2, 3, 5), (left[-1:] or " ").isalnum() + 0, int(_before(kind, left)) + 1, int(_checks(kind, span)) + 1)
+    return (KINDS.index(kind), _clip(n, 4, 8, 12, 16, 20, 32), _clip(digits, 1, 4, 7, 10, 13, 17), int(4 * digits / n), int(2 * upper / max(1, letters)), _clip(sum(not c.isalnum() for c in span), 1, 2, 3, 5), (left[-1:] or " ").isalnum() + 2 * _runs_on(kind, span, left, right), int(_before(kind, left)) + 1, int(_checks(kind, span)) + 1)
 
 
 def candidates(text: str, begin: int, end: int) -> Iterator[tuple[int, int, str, tuple[int, ...], tuple[int, ...]]]:
-    """(begin, end, kind, votes, features) within one region of a text; where forms overlap, the one listed first wins."""
+    """(begin, end, kind, votes, features) of all that any form finds within one region of a text; they may overlap."""
     region = text[begin:end]
-    taken: list[tuple[int, int]] = []
     for kind, form, group in _FORMS:
         for m in form.finditer(region):
             a, b = m.span(group)
-            if any(a < y and x < b for x, y in taken):
-                continue
-            taken.append((a, b))
             a, b = a + begin, b + begin
             span, left, right = text[a:b], text[max(0, a - 32) : a], text[b : b + 8]
-            yield a, b, kind, (_regex(kind, span), _checks(kind, span), _gazetteer(kind, span), _before(kind, left), _beside(kind, left, right)), features(kind, span, left, right)
+            yield a, b, kind, (_regex(kind, span), _checks(kind, span), _gazetteer(kind, span), _before(kind, left), _beside(kind, span, left, right)), features(kind, span, left, right)
 
 
 def regions(texts: list[str]) -> Iterator[tuple[int, int, int]]:
@@ -285,10 +294,40 @@ def fit(docs: DataFrame) -> SpanClassifier | None:
     return SpanClassifier(form, q, weight)
 
 
+def resolve(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Of accepted spans of one text, those that stay: none that lies within a longer one, then by probability (in tenths), length and form."""
+    order = {kind: k for k, (kind, _, _) in enumerate(_FORMS)}
+    outer: list[tuple[int, int, str, float]] = []
+    reach = -1
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        if x[1] > reach or outer and x[:2] == outer[-1][:2]:
+            outer.append(x)
+            reach = max(reach, x[1])
+    stay: list[tuple[int, int, str, float]] = []
+    for a, b, kind, p in sorted(outer, key=lambda x: (-round(x[3], 1), x[0] - x[1], order[x[2]], x[0])):
+        # what a better one leaves of a span is still hidden
+        stay += [(x, y, kind, p) for x, y in _gaps(stay, a, b)]
+    return sorted(stay)
+
+
+def _gaps(taken: list[tuple[int, int, str, float]], a: int, b: int) -> list[tuple[int, int]]:
+    """What of a to b isn't taken."""
+    out, at = [], a
+    for x, y, *_ in sorted(taken):
+        if x > at:
+            out.append((at, min(x, b)))
+        at = max(at, y)
+        if at >= b:
+            break
+    if at < b:
+        out.append((at, b))
+    return [(x, y) for x, y in out if y > x]
+
+
 def _decided(texts: list[str], model: SpanClassifier, threshold: float) -> Iterator[tuple[int, int, int, str, float]]:
-    for row, a, b, kind, _, form in _found(texts):
-        p = model.probability(form)
-        if p >= threshold:
+    for row, own in groupby(_found(texts), key=lambda x: x[0]):
+        accepted = [(a, b, kind, p) for _, a, b, kind, _, form in own if (p := model.probability(form)) >= threshold]
+        for a, b, kind, p in resolve(accepted) if len(accepted) > 1 else accepted:
             yield row, a, b, kind, p
 
 

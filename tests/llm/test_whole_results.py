@@ -4,7 +4,7 @@ import pytest
 from helpers import ODD, frame, pairs, text
 from test_near_duplicates import grams, near_copies
 
-from docloom.llm import jaccard_join
+from docloom.llm import jaccard_join, pii
 
 
 @pytest.mark.parametrize("members", [1000, 3])
@@ -34,3 +34,39 @@ def test_jaccard_join_gives_every_pair_of_copies(spark, monkeypatch, members):
     assert {(200 + i, 200 + j) for i in range(8) for j in range(i)} <= {(b, a) for a, b in got}
     assert {(200 + i, 300 + j) for i in range(8) for j in range(4)} <= got.keys() and (151, 152) in got and (151, 153) not in got
     assert jaccard_join.every_pair(docs.limit(0)).count() == 0
+
+
+CARDS = ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500 0055 5555 5559", "4012-8888-8888-1881", "3782 822463 10005"]
+PHONES = ["+33 1 23 45 67 89", "+49 30 12345678", "+1 (202) 555-0143"]
+
+
+def test_pii_finds_separated_cards_and_phones_in_other_groups(spark):
+    rows, want = [], set()
+    for i in range(150):
+        kind, span = [("card", CARDS[i % 5]), ("phone", PHONES[i % 3]), (None, "Version 2.0.")][i % 3 if i % 2 else i % 2 + (i // 2) % 2]
+        rows.append((i, f"{text(i, 12)} {span} {text(i + 500, 6)}"))
+        if kind:
+            begin = rows[-1][1].index(span)
+            want.add((i, begin, begin + len(span), kind))
+    docs = frame(spark, rows + ODD)
+    got = [(x["doc_id"], x["begin"], x["end"], x["kind"]) for x in pii.spans(docs).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {k for _, _, _, k in want} == {"card", "phone"}
+    for r in pii.redact(docs).filter("doc_id < 150").collect():
+        assert not set("13456789") & set(r["text"])
+
+
+def test_pii_forms_propose_whatever_others_propose():
+    for span in CARDS:
+        found = {(a, b, kind) for a, b, kind, _, _ in pii.candidates(f"ab {span} cd", 0, len(span) + 6)}
+        assert (3, 3 + len(span), "card") in found
+    for span in [*PHONES, "01 23 45 67 89", "0171 2345678"]:
+        found = {(a, b, kind) for a, b, kind, _, _ in pii.candidates(f"ab {span} cd", 0, len(span) + 6)}
+        assert (3, 3 + len(span), "phone") in found
+
+
+def test_pii_overlaps_leave_nothing_that_was_accepted():
+    assert pii.resolve([(0, 14, "phone", 0.9), (0, 19, "card", 0.8)]) == [(0, 19, "card", 0.8)]
+    assert pii.resolve([(0, 9, "key", 0.6), (0, 9, "secret", 0.9), (20, 25, "ip", 0.7)]) == [(0, 9, "secret", 0.9), (20, 25, "ip", 0.7)]
+    assert pii.resolve([(0, 9, "key", 0.99), (0, 9, "secret", 0.97)]) == [(0, 9, "secret", 0.97)]
+    assert pii.resolve([(0, 9, "key", 0.6), (5, 15, "phone", 0.9)]) == [(0, 5, "key", 0.6), (5, 15, "phone", 0.9)]
