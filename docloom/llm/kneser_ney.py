@@ -16,6 +16,7 @@ perplexities in the language, for documents of about the same length.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -319,6 +320,12 @@ def _scan(docs: DataFrame, shared) -> DataFrame:
 
 def _joined(docs: DataFrame, model: DataFrame, n: int) -> DataFrame:
     """The same as _scan by joins of each document's grams with the model's shards, for a model of any size."""
+    keyed = materialise(docs.select(F.expr("uuid()").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), "scored")
+    return _joined_rows(keyed, model, n).drop("row")
+
+
+def _joined_rows(keyed: DataFrame, model: DataFrame, n: int) -> DataFrame:
+    """(row, doc_id, lang, perplexity, band) of rows that are named by a written key `row`."""
     schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("lang", pa.string()), ("band", pa.int64()), ("chars", pa.int64()), ("gram", pa.string()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +342,6 @@ def _joined(docs: DataFrame, model: DataFrame, n: int) -> DataFrame:
                 rows += [(row, ident, lang, b, len(text), g, k) for g, k in Counter(laid[i : i + n] for i in range(len(text) + 1)).items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, schema.types)], schema=schema)
 
-    keyed = materialise(docs.select(F.expr("uuid()").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), "scored")
     out = keyed.mapInArrow(run, "row string, doc_id long, lang string, band long, chars long, gram string, times long")
     out = out.withColumn("weight", F.lit(0.0)).withColumn("found", F.lit(None).cast("double"))
     for k in range(n, -1, -1):
@@ -347,7 +353,7 @@ def _joined(docs: DataFrame, model: DataFrame, n: int) -> DataFrame:
         out = _same(out.withColumn("own", F.expr(f"substring(gram, {n - k + 1}, {k})")), side, ("lang", "l2"), ("own", "g2"), how="left").drop("own")
         out = out.withColumn("found", F.coalesce("found", F.col("weight") + F.col("lp"))).drop("lp")
     total = out.groupBy("row", "doc_id", "lang", "band", "chars").agg(F.sum(F.col("found") * F.col("times")).alias("s"))
-    return total.select("doc_id", "lang", F.when(F.col("chars") > 0, F.exp(-F.col("s") / (F.col("chars") + 1))).alias("perplexity"), "band")
+    return total.select("row", "doc_id", "lang", F.when(F.col("chars") > 0, F.exp(-F.col("s") / (F.col("chars") + 1))).alias("perplexity"), "band")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -386,19 +392,24 @@ class Classifier:
 
     def accepted(self, docs: DataFrame) -> DataFrame:
         """(doc_id, lang, perplexity, threshold) of the documents that are not rejected."""
-        spark = docs.sparkSession
+        return self._accepted(self.score(docs)).select("doc_id", "lang", "perplexity", "threshold")
+
+    def _accepted(self, scored: DataFrame) -> DataFrame:
+        spark = scored.sparkSession
         limits = spark.createDataFrame([(a, b, c) for (a, b), c in self.limits.items()], "l string, b long, threshold double")
-        scored = self.score(docs)
         out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")) & (F.col("band") == F.col("b")), "left")
         out = out.withColumn("perplexity", F.when(~F.isnan("perplexity"), F.col("perplexity")))
-        return out.filter(~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False))).select("doc_id", "lang", "perplexity", "threshold")
+        return out.filter(~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)))
 
     def keep(self, docs: DataFrame) -> DataFrame:
-        """docs without the rejected, with all columns."""
+        """docs without the rejected, with all columns; each row is judged by itself, whatever its id."""
         if self.shared is None:
-            good = self.accepted(docs).select("doc_id").filter("doc_id IS NOT NULL").distinct()
-            good = materialise(good, "accepted")
-            return keep_ids(docs, good, "left_semi").select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+            key = f"row_{uuid.uuid4().hex}"
+            keyed = materialise(docs.withColumn(key, F.expr("uuid()")), "keyed")
+            rows = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+            good = materialise(self._accepted(_joined_rows(rows, self.model, self.n)).select("row"), "accepted")
+            good = checked_broadcast(good, 64)
+            return keyed.join(good, keyed[key] == good["row"], "left_semi").select(docs.columns)
         at_lang, at_text = docs.columns.index("lang"), docs.columns.index("text")
         shared, limits = self.shared, self.limits
 

@@ -4,7 +4,7 @@ import pytest
 from helpers import ODD, frame, pairs, text
 from test_near_duplicates import grams, near_copies
 
-from docloom.llm import jaccard_join, pii
+from docloom.llm import jaccard_join, kneser_ney, pii
 
 
 @pytest.mark.parametrize("members", [1000, 3])
@@ -70,3 +70,15 @@ def test_pii_overlaps_leave_nothing_that_was_accepted():
     assert pii.resolve([(0, 9, "key", 0.6), (0, 9, "secret", 0.9), (20, 25, "ip", 0.7)]) == [(0, 9, "secret", 0.9), (20, 25, "ip", 0.7)]
     assert pii.resolve([(0, 9, "key", 0.99), (0, 9, "secret", 0.97)]) == [(0, 9, "secret", 0.97)]
     assert pii.resolve([(0, 9, "key", 0.6), (5, 15, "phone", 0.9)]) == [(0, 5, "key", 0.6), (5, 15, "phone", 0.9)]
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_quality_is_decided_for_each_row(spark, limit):
+    junk = "$$ %% ## @@ " * 9
+    rows = [(i, text(i, 25)) for i in range(60)]
+    rows += [(None, junk), (None, text("good", 25)), (3, junk), (70, junk), (71, junk), (71, text("also good", 25))]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(60) if i != 3], "doc_id long, quality int")
+    kept = [tuple(r) for r in kneser_ney.fit(docs, labels, n=3, limit=limit).keep(docs).select("doc_id", "text").collect()]
+    assert not [i for i, t in kept if t == junk]
+    assert {(None, text("good", 25)), (71, text("also good", 25)), (3, text(3, 25))} <= set(kept)
