@@ -16,6 +16,7 @@ item are read again.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, keep_ids, materialise
+from docloom.llm.common import BROADCAST_BYTES, checked_broadcast, keep_ids, materialise
 from docloom.llm.textvec import Words, gram_hashes, text_blocks
 
 MIN_TILE = 5
@@ -219,7 +220,16 @@ def _joined(docs: DataFrame, benchmark: DataFrame, min_tile: int, threshold: flo
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
     """docs without those into which an item leaked; all columns stay.
 
-    Rows without an id stay, as no decision can name them.
+    A row without an id is judged by itself; an id that repeats goes with all
+    its rows if an item leaked into one of them.
     """
-    bad = materialise(leaks(docs, benchmark, **kwargs).select("doc_id").filter("doc_id IS NOT NULL").distinct(), "leaked")
-    return keep_ids(docs, bad, "left_anti").select(docs.columns)
+    bad = materialise(leaks(docs.filter("doc_id IS NOT NULL"), benchmark, **kwargs).select("doc_id").distinct(), "leaked")
+    nameless = docs.filter("doc_id IS NULL")
+    if nameless.isEmpty():
+        return keep_ids(docs, bad, "left_anti").select(docs.columns)
+    key = f"row_{uuid.uuid4().hex}"
+    keyed = materialise(nameless.withColumn(key, F.monotonically_increasing_id()), "nameless")
+    leaked = materialise(leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, **kwargs).select(F.col("doc_id").alias("__row")).distinct(), "leaked-rows")
+    leaked = checked_broadcast(leaked, 24)
+    clean = keyed.join(leaked, keyed[key] == leaked["__row"], "left_anti").select(docs.columns)
+    return keep_ids(docs.filter("doc_id IS NOT NULL"), bad, "left_anti").select(docs.columns).unionByName(clean)
