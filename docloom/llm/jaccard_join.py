@@ -3,17 +3,19 @@
 A document is the set of its word n-grams.  Under one global order of
 n-grams, rare ones first, two sets of similarity t or more share an n-gram
 among their first n - ceil(t n) + 1.  Documents with the same prefix and the
-same size form one group; group pairs are filtered by size and by the places
-of the shared n-gram, then expanded into members and verified exactly.
+same size form one group; group pairs are filtered by size and by how many
+n-grams their prefixes share, then expanded into members and verified exactly.
 
-While pairs are sought, documents with one and the same set are represented by
-that of lowest id.  `every_pair` expands the verified pairs of sets, and each set
-with itself, into all pairs of their documents; `similar` pairs each copy with
-its representative alone, which is enough to tell what hangs together.
+Documents with one and the same set are a class, which the one of lowest id
+represents while pairs are sought.  `similar` gives the verified pairs of
+representatives and pairs each copy with its own; `classes` gives one row per
+document with its class, what it hangs together with and the number of other
+classes it is similar to, counted where the pairs are verified.
 
 The order only has to be the same for all documents, so frequencies need not
-be exact: an n-gram ranks by the logarithm of its highest count in any one
-window of the scan, and all that stay under a handful rank first, by hash.
+be exact: an n-gram ranks by the logarithm of its counts in those windows of
+the scan where it comes up a handful of times, and all others rank first, by
+hash.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checked_broadcast, keep_ids, materialise
-from docloom.llm.textvec import Words, gram_hashes, mix, text_blocks
+from docloom.llm.common import checked_broadcast, discard, groups, hang_together, keep_ids, materialise, tidy
+from docloom.llm.textvec import Words, gram_hashes, mix, text_parts
 
 N = 3
 THRESHOLD = 0.7
@@ -35,9 +38,9 @@ FREQUENT = 4
 #: Ranked n-grams that are sent to the scan; with more, the least frequent rank by hash alone. Affects speed only.
 MOST_RANKED = 4_000_000
 _WINDOW_CHARS = 32_000_000
-_PAIR_BLOCK = 2_000_000
-#: Members of one set that are paired in one place.
-_MEMBERS = 1000
+_PAIR_BLOCK = 500_000
+#: Pairs that are verified in one place; those of a larger crowd are spread by their first document.
+_CROWD = 200_000
 
 
 def sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,21 +62,20 @@ def sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for part in text_blocks(texts):
-            doc, g = sets(texts[part], n)
-            yield batch.column(0).slice(part.start, part.stop - part.start), doc, g, sum(len(t) for t in texts[part])
+        for part, texts in text_parts(batch, 1):
+            doc, g = sets(texts, n)
+            yield batch.column(0).slice(part.start, len(texts)), doc, g, sum(map(len, texts))
 
 
 def frequent(docs: DataFrame, n: int) -> DataFrame:
-    """(gram, level): n-grams that are frequent in some window of the scan, and the logarithm of their count there."""
-    schema = pa.schema([("gram", pa.int64()), ("level", pa.int32())])
+    """(gram, level): n-grams that are frequent in some window of the scan, and the logarithm of their count in all such."""
+    schema = pa.schema([("gram", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
             g, c = np.unique(np.concatenate(held), return_counts=True)
             g, c = g[c >= FREQUENT], c[c >= FREQUENT]
-            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.log2(c).astype(np.int32))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], schema=schema)
 
         held, size = [], 0
         for _, _, g, chars in _scan(batches, n):
@@ -85,7 +87,7 @@ def frequent(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.mapInArrow(run, "gram long, level int").groupBy("gram").agg(F.max("level").alias("level"))
+    return docs.mapInArrow(tidy(run), "gram long, times long").groupBy("gram").agg(F.log2(F.sum("times")).cast("int").alias("level"))
 
 
 class _Order:
@@ -118,14 +120,14 @@ def _order(docs: DataFrame, n: int):
 
 
 def _prefixes(doc: np.ndarray, g: np.ndarray, order: _Order, threshold: float):
-    """In the global order: gram, text, place, size, of the prefix rows; and first row and size of each text."""
+    """In the global order: gram, text, size, and whether it is of the prefix; and first row and size of each text."""
     by = np.lexsort((g, order.of(g), doc))
     doc, g = doc[by], g[by]
     first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(doc)))
     place = np.arange(len(doc)) - np.repeat(first, size)
     keep = place < np.repeat(prefix_length(size, threshold), size)
-    return g, doc, place, np.repeat(size, size), keep, first, size
+    return g, doc, np.repeat(size, size), keep, first, size
 
 
 def least_overlap(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -143,17 +145,18 @@ def signatures(docs: DataFrame, n: int, threshold: float, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, doc, g, _ in _scan(batches, n):
-            g, doc, place, _, keep, first, size = _prefixes(doc, g, shared.value, threshold)
+            g, doc, _, keep, first, size = _prefixes(doc, g, shared.value, threshold)
             if not len(first):
                 continue
             set1, set2 = np.add.reduceat(mix(g), first), np.add.reduceat(mix(g ^ np.uint64(0xA5A5A5A5)), first)
             prefix = np.add.reduceat(np.where(keep, mix(g + np.uint64(77)), np.uint64(0)), first)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[first])), pa.array(size.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (set1, set2, prefix))], schema=schema)
 
-    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return docs.mapInArrow(tidy(run), ", ".join(f"{x} long" for x in names))
 
 
-_PARTS = ((6, "gram"), (8, "id"), (4, "place"), (4, "size"))
+_POSTING = (6, 8, 4)
+_PAIR = (8, 8, 4, 4)
 
 
 def _planes(a: np.ndarray, n: int) -> bytes:
@@ -167,34 +170,39 @@ def _from_planes(data: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _packed(slot: np.ndarray, columns: tuple[np.ndarray, ...], widths: tuple[int, ...], schema: pa.Schema) -> pa.RecordBatch:
+    """One row for each slot, with the columns of its rows in so many bytes each."""
+    by = np.argsort(slot, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(slot[by]) != 0))) if len(by) else np.zeros(0, np.int64)
+    data = [b"".join(_planes(c[some], k) for c, k in zip(columns, widths)) for some in np.split(by, first[1:])] if len(first) else []
+    return pa.RecordBatch.from_arrays([pa.array(slot[by][first].astype(np.int32)), pa.array(data, pa.binary())], schema=schema)
+
+
+def _unpacked(rows: pa.ChunkedArray, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The columns of all rows."""
+    out: list[list[np.ndarray]] = [[] for _ in widths]
+    for chunk in rows.chunks:
+        for blob in chunk:
+            data = np.frombuffer(blob.as_buffer(), np.uint8)
+            m, at = len(data) // sum(widths), 0
+            for column, k in zip(out, widths):
+                column.append(_from_planes(data[at : at + k * m], k))
+                at += k * m
+    return [np.concatenate(c).view(np.int64) for c in out]
+
+
 def _prefix_rows(docs: DataFrame, n: int, threshold: float, shared) -> DataFrame:
-    """(bucket, rows): the prefix n-grams (upper 48 bits, document, place, size) of a block of texts, one row for each bucket of n-grams."""
+    """(bucket, rows): the prefix n-grams (upper 48 bits, document, size) of a block of texts, one row for each bucket of n-grams."""
     schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, doc, g, _ in _scan(batches, n):
-            g, doc, place, size, keep, _, _ = _prefixes(doc, g, shared.value, threshold)
-            g, place, size, ident = g[keep], place[keep], size[keep], ids.to_numpy()[doc[keep]]
-            bucket = (g % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(bucket[by]) != 0))) if len(by) else np.zeros(0, np.int64)
-            data = [b"".join(_planes(c[some], k) for c, (k, _) in zip((g >> np.uint64(16), ident, place, size), _PARTS)) for some in np.split(by, first[1:])] if len(first) else []
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[by][first]), pa.array(data, pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, "bucket int, rows binary")
-
-
-def _unpacked(rows: pa.Array) -> list[np.ndarray]:
-    """Columns gram, id, place and size of all rows."""
-    out: list[list[np.ndarray]] = [[] for _ in _PARTS]
-    for blob in rows.to_pylist():
-        data = np.frombuffer(blob, np.uint8)
-        m, at = len(data) // sum(k for k, _ in _PARTS), 0
-        for column, (k, _) in zip(out, _PARTS):
-            column.append(_from_planes(data[at : at + k * m], k))
-            at += k * m
-    return [np.concatenate(c).view(np.int64) for c in out]
+            g, doc, size, keep, _, _ = _prefixes(doc, g, shared.value, threshold)
+            g, size, ident = g[keep], size[keep], ids.to_numpy()[doc[keep]]
+            yield _packed((g % np.uint64(buckets)).astype(np.int32), (g >> np.uint64(16), ident, size), _POSTING, schema)
+
+    return docs.mapInArrow(tidy(run), "bucket int, rows binary")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -202,142 +210,165 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(held) if held else None
 
 
+def _folded(code: np.ndarray, shared: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each code once, with the sum of what is shared and the least of what is needed."""
+    by = np.argsort(code)
+    code = code[by]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    return code[first], np.add.reduceat(shared[by], first), np.minimum.reduceat(need[by], first)
+
+
 def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of groups that share a prefix n-gram and whose sizes and places allow the similarity."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(a, b): pairs of groups whose sizes allow the similarity and whose prefixes share enough n-grams for it.
+
+    What two sets share lies in both prefixes or in the rest of one of them, so
+    it is at most what the prefixes share and the longer rest.  Each bucket
+    tells how many prefix n-grams of its own a pair shares; the sum decides.
+    """
+    schema = pa.schema([("slot", pa.int32()), ("pairs", pa.binary())])
+    slots = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _whole(batches)
         if table is None:
             return
-        gram, ident, place, size = _unpacked(table.column(1))
+        gram, ident, size = _unpacked(table.column(1), _POSTING)
+        del table
         by = np.lexsort((size, gram))
-        gram, place, size = gram[by], place[by], size[by]
+        gram, size = gram[by], size[by]
         names, ident = np.unique(ident[by], return_inverse=True)
-        run_end = np.searchsorted(gram, gram, side="right")
         # partners of a row: later rows of its n-gram that are not too large
         start = np.searchsorted(gram, gram, side="left")
         span = int(size.max()) + 2
         limit = np.minimum(np.floor(size / threshold + 1e-9).astype(np.int64), span - 1)
-        far = np.minimum(run_end, np.searchsorted(start * span + size, start * span + limit, side="right"))
+        far = np.minimum(np.searchsorted(gram, gram, side="right"), np.searchsorted(start * span + size, start * span + limit, side="right"))
         count = np.maximum(0, far - np.arange(len(gram)) - 1)
+        rest = size - prefix_length(size, threshold)
+        del gram, start, limit, far
         rows_with = np.flatnonzero(count)
-        at = 0
-        found: list[np.ndarray] = []
-        held = 0
         total = np.cumsum(count[rows_with])
+
+        def out(code: np.ndarray, shared: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+            a, b = (names[x].view(np.uint64) for x in divmod(code, len(names)))
+            slot = mix(mix(a) + (b & np.uint64(15))) % np.uint64(slots)
+            return _packed(slot.astype(np.int32), (a, b, shared, need), _PAIR, schema)
+
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at = held = 0
         while at < len(rows_with):
             base = total[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(total, base + _PAIR_BLOCK, side="right")))
-            left = np.repeat(rows_with[at:stop], count[rows_with[at:stop]])
-            step = np.arange(len(left)) - np.repeat(np.cumsum(count[rows_with[at:stop]]) - count[rows_with[at:stop]], count[rows_with[at:stop]])
-            right = left + 1 + step
-            need = np.ceil(threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9)
-            ok = (ident[left] != ident[right]) & (1 + np.minimum(size[left] - place[left] - 1, size[right] - place[right] - 1) >= need)
-            x, y = ident[left[ok]], ident[right[ok]]
-            found.append(np.unique(np.minimum(x, y) * len(names) + np.maximum(x, y)))
-            held += len(found[-1])
+            some = count[rows_with[at:stop]]
+            left = np.repeat(rows_with[at:stop], some)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some)
+            need = np.maximum(1, np.ceil(threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9).astype(np.int64) - np.maximum(rest[left], rest[right]))
+            x, y = ident[left], ident[right]
+            ok = x != y
+            found.append(_folded((np.minimum(x, y) * len(names) + np.maximum(x, y))[ok], np.ones(int(ok.sum()), np.int64), need[ok])) if ok.any() else None
+            held += len(found[-1][0]) if ok.any() else 0
             at = stop
             if held > 4 * _PAIR_BLOCK:
-                found = [np.unique(np.concatenate(found))]
-                if len(found[0]) > 2 * _PAIR_BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(names[x]) for x in divmod(found[0], len(names))], schema=schema)
-                    found = []
-                held = sum(len(f) for f in found)
+                found = [_folded(*map(np.concatenate, zip(*found)))]
+                held = len(found[0][0])
+                if held > 2 * _PAIR_BLOCK:
+                    yield out(*found[0])
+                    found, held = [], 0
         if found:
-            both = np.unique(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([pa.array(names[x]) for x in divmod(both, len(names))], schema=schema)
+            yield out(*_folded(*map(np.concatenate, zip(*found))))
 
-    return rows.repartition("bucket").mapInArrow(run, "a long, b long").distinct()
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _whole(batches)
+        if table is None:
+            return
+        a, b, shared, need = _unpacked(table.column(1), _PAIR)
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        first = first[np.add.reduceat(shared[by], first) >= np.minimum.reduceat(need[by], first)]
+        yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
+
+    return rows.repartition("bucket").mapInArrow(tidy(run), "slot int, pairs binary").repartition("slot").mapInArrow(tidy(enough), "a long, b long")
 
 
-def _bring(docs: DataFrame, pairs: DataFrame, n: int, pack, check) -> DataFrame:
-    """(a, b, set_a, set_b, jaccard) of the pairs for which check gives a number; set_a and set_b are set1 of the texts compared.
+def _bring(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, threshold: float, emit, kind: str) -> tuple[DataFrame, list[DataFrame]]:
+    """What emit makes of the pairs in each place, and the written tables that it is read from.
 
-    pack turns a sorted n-gram set into bytes; check gets the pairs (as
-    numbers of documents, ordered by the first) and the documents' bytes.
     Pairs that hang together are brought to one place with one copy of each
-    document's bytes, rather than a copy for each pair.
+    document's set, rather than a copy for each pair.
     """
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    least = ends.groupBy("id").agg(F.least(F.min("id"), F.min("other")).alias("lead"))
-    least = materialise(least, "leads")
-    placed = pairs.join(least.select(F.col("id").alias("a"), F.col("lead").alias("la")), "a").join(least.select(F.col("id").alias("b"), F.col("lead").alias("lb")), "b")
-    placed = placed.select("a", "b", F.least("la", "lb").alias("lead"))
-    crowd = placed.groupBy("lead").agg(F.ceil(F.count("*") / 200_000).alias("parts"))
-    placed = placed.join(crowd, "lead").select("a", "b", F.xxhash64("lead", F.pmod(F.xxhash64("a"), "parts")).alias("spot"))
-    placed = materialise(placed, "pairs")
-    wanted = materialise(placed.select(F.col("a").alias("id"), "spot").union(placed.select("b", "spot")).distinct(), "wanted")
-
-    schema = pa.schema([("id", pa.int64()), ("grams", pa.binary())])
+    least = materialise(ends.groupBy("id").agg(F.least(F.min("id"), F.min("other")).alias("lead")), "leads")
+    side = checked_broadcast(least, 24)
+    placed = pairs.join(side.select(F.col("id").alias("a"), F.col("lead").alias("la")), "a").join(side.select(F.col("id").alias("b"), F.col("lead").alias("lb")), "b")
+    placed = materialise(placed.select("a", "b", F.least("la", "lb").alias("lead")), "placed")
+    crowd = materialise(placed.groupBy("lead").count().filter(F.col("count") > _CROWD).select(F.col("lead").alias("crowd"), F.ceil(F.col("count") / _CROWD).alias("parts")), "crowds")
+    placed = placed.join(checked_broadcast(crowd, 24), F.col("lead") == F.col("crowd"), "left")
+    placed = placed.select("a", "b", F.xxhash64("lead", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))).alias("spot"))
+    own = checked_broadcast(least, 24).join(reps.select(F.col("rep").alias("id"), F.col("set1").alias("name")), "id").select("id", "name")
+    own = materialise(own, "own")
+    wanted = placed.select(F.col("a").alias("id"), "spot").union(placed.select("b", "spot")).distinct()
+    wanted = materialise(wanted.join(checked_broadcast(own, 32), "id"), "wanted")
+
+    schema = pa.schema([("id", pa.int64()), ("name", pa.int64()), ("grams", pa.binary())])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, doc, g, _ in _scan(batches, n):
             first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
             names = np.add.reduceat(mix(g), first) if len(first) else g
-            data = [name.tobytes() + pack(x) for name, x in zip(names, np.split(g, first[1:]))] if len(first) else []
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[first])), pa.array(data, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[first])), pa.array(names.view(np.int64)), pa.array([_six_bytes(x) for x in np.split(g, first[1:])] if len(first) else [], pa.binary())], schema=schema)
 
     some = keep_ids(docs, least.select(F.col("id").alias("doc_id")), "left_semi").select("doc_id", "text")
-    held = some.mapInArrow(packed, "id long, grams binary").join(checked_broadcast(wanted, 24), "id").select("spot", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    both = held.unionByName(placed.select("spot", "a", "b", F.lit(None).cast("binary").alias("grams"))).repartition("spot")
-    result = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("jaccard", pa.float64())])
+    held = some.mapInArrow(tidy(packed), "id long, name long, grams binary").join(checked_broadcast(wanted, 32), ["id", "name"]).select("spot", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "name", "grams")
+    both = held.unionByName(placed.select("spot", "a", "b", F.lit(None).cast("long").alias("name"), F.lit(None).cast("binary").alias("grams"))).repartition("spot")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _whole(batches)
         if table is None:
             return
-        a, b = table.column("a").to_numpy(), table.column("b").to_numpy(zero_copy_only=False)
-        is_set = np.asarray(table.column("b").is_null())
-        have: dict[int, list[bytes]] = {}
-        blobs = table.column("grams").filter(pa.array(is_set))
-        for ident, blob in zip(a[is_set].tolist(), blobs.to_pylist()):
-            have.setdefault(ident, []).append(blob)
-        if not have or is_set.all():
+        is_set = table.column("b").is_null().to_numpy()
+        spot, a, b = table.column("spot").to_numpy(), table.column("a").to_numpy(), pc.fill_null(table.column("b"), 0).to_numpy()
+        # each set once in each spot, whatever rows repeat
+        which = np.flatnonzero(is_set)
+        sets_ = table.select(["name", "grams"]).take(pa.array(which))
+        name = sets_.column("name").to_numpy()
+        by = np.lexsort((name, a[which], spot[which]))
+        new = np.ones(len(by), bool)
+        new[1:] = (np.diff(spot[which][by]) != 0) | (np.diff(a[which][by]) != 0) | (np.diff(name[by]) != 0)
+        by = by[new]
+        if not len(by) or is_set.all():
             return
-        of = {x: (k, len(v)) for (x, v), k in zip(have.items(), np.cumsum([0] + [len(v) for v in have.values()]).tolist())}
-        rows = [(i, j, x, y) for x, y in zip(a[~is_set].tolist(), b[~is_set].astype(np.int64).tolist()) for i in range(of[x][0], sum(of[x])) for j in range(of[y][0], sum(of[y]))]
-        left, right, x, y = (np.array(c, np.int64) for c in zip(*rows))
+        key = _key(spot[which][by], a[which][by])
+        blobs = sets_.column("grams").take(pa.array(by)).to_pylist()
+        name, owner = name[by], a[which][by]
+        x, y = _key(spot[~is_set], a[~is_set]), _key(spot[~is_set], b[~is_set])
+        del table, sets_
+        order = np.argsort(key, kind="stable")
+        ranges = [(np.searchsorted(key[order], z, "left"), np.searchsorted(key[order], z, "right")) for z in (x, y)]
+        times = [hi - lo for lo, hi in ranges]
+        left, right = _cross(ranges[0][0], times[0], ranges[1][0], times[1])
+        left, right = order[left], order[right]
+        twice = (owner[left] == owner[right]) & (left >= right)
+        left, right = left[~twice], right[~twice]
         by = np.lexsort((right, left))
-        left, right, x, y = left[by], right[by], x[by], y[by]
-        whole = [blob for v in have.values() for blob in v]
-        name = np.frombuffer(b"".join(blob[:8] for blob in whole), np.int64)
-        value = check(left, right, [blob[8:] for blob in whole])
-        ok = ~np.isnan(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (x, y, name[left], name[right], value)], schema=result)
-
-    return both.mapInArrow(verify, "a long, b long, set_a long, set_b long, jaccard double")
-
-
-def _tallies(g: np.ndarray) -> bytes:
-    """How many n-grams, up to 15, fall into each of about a third as many cells; two cells in a byte."""
-    cells = 1 << max(4, len(g).bit_length() - 2)
-    tally = np.minimum(15, np.bincount((g & np.uint64(cells - 1)).astype(np.int64), minlength=cells)).astype(np.uint8)
-    return (tally[: cells // 2] | tally[cells // 2 :] << 4).tobytes()
-
-
-def _may_be(threshold: float):
-    """A bound from the tallies: two sets share no more in a cell than the lesser tally; a cell of 15 may hold any number."""
-
-    def check(left: np.ndarray, right: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-        both = [np.frombuffer(x, np.uint8) for x in blobs]
-        tally = [np.concatenate([x & 15, x >> 4]) for x in both]
-        size = [int(t.sum(dtype=np.int64)) if t.max() < 15 else -1 for t in tally]
-        out = np.full(len(left), np.nan)
-        for k, (i, j) in enumerate(zip(left.tolist(), right.tolist())):
-            x, y = tally[i], tally[j]
-            if size[i] < 0 or size[j] < 0:
-                out[k] = 1.0
-                continue
-            if len(x) < len(y):
-                x, y = y, x
-            if len(x) > len(y):
-                x = x.reshape(-1, len(y)).sum(0, dtype=np.int64)
-            if int(np.minimum(x, y).sum(dtype=np.int64)) >= threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9:
-                out[k] = 1.0
-        return out
+        left, right = left[by], right[by]
+        value = _jaccard(left, right, blobs)
+        ok = value >= threshold - 1e-12
+        yield from emit(owner, name, left[ok], right[ok], value[ok])
+
+    return both.mapInArrow(tidy(verify), kind), [least, crowd, own, wanted]
 
-    return check
+
+def _key(spot: np.ndarray, ident: np.ndarray) -> np.ndarray:
+    """A document in its place, as one number."""
+    return mix(mix(spot.astype(np.int64).view(np.uint64)) + ident.astype(np.int64).view(np.uint64))
+
+
+def _cross(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row all combinations of a number from a to a + m with one from b to b + n."""
+    total = m * n
+    row = np.repeat(np.arange(len(total)), total)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
+    return a[row] + step // n[row], b[row] + step % n[row]
 
 
 def _six_bytes(g: np.ndarray) -> bytes:
@@ -345,118 +376,118 @@ def _six_bytes(g: np.ndarray) -> bytes:
     return (g >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _is(threshold: float):
-    def check(left: np.ndarray, right: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-        import pandas as pd
-
-        size = np.array([len(x) // 6 for x in blobs])
-        start = np.concatenate(([0], np.cumsum(size)))
-        wide = np.zeros((int(start[-1]), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-        flat, uniques = pd.factorize(wide.view("<u8").ravel())
-        mark = np.zeros(len(uniques), bool)
-        out = np.full(len(left), np.nan)
-        heads = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
-        for lo, hi in zip(heads, np.append(heads[1:], len(left))):
-            k = left[lo]
-            own = flat[start[k] : start[k + 1]]
-            mark[own] = True
-            other = right[lo:hi]
+def _jaccard(left: np.ndarray, right: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+    """Similarity of each pair of sets, which come ordered by the first."""
+    import pandas as pd
+
+    size = np.array([len(x) // 6 for x in blobs])
+    start = np.concatenate(([0], np.cumsum(size)))
+    wide = np.zeros((int(start[-1]), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    flat, uniques = pd.factorize(wide.view("<u8").ravel())
+    del wide
+    flat = flat.astype(np.int32)
+    mark = np.zeros(len(uniques), bool)
+    out = np.zeros(len(left))
+    heads = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1]))) if len(left) else np.zeros(0, np.int64)
+    for lo, hi in zip(heads, np.append(heads[1:], len(left))):
+        k = left[lo]
+        own = flat[start[k] : start[k + 1]]
+        mark[own] = True
+        for at in range(lo, hi, 500):
+            other = right[at : min(hi, at + 500)]
             cells = np.concatenate([flat[start[o] : start[o + 1]] for o in other])
-            common = np.add.reduceat(mark[cells].astype(np.int64), np.concatenate(([0], np.cumsum(size[other])[:-1])))
-            mark[own] = False
-            value = common / (size[k] + size[other] - common)
-            out[lo:hi] = np.where(value >= threshold - 1e-12, value, np.nan)
-        return out
+            common = np.add.reduceat(mark[cells], np.concatenate(([0], np.cumsum(size[other])[:-1])), dtype=np.int64)
+            out[at : at + len(other)] = common / (size[k] + size[other] - common)
+        mark[own] = False
+    return out
+
 
-    return check
+def _as_pairs(owner: np.ndarray, name: np.ndarray, left: np.ndarray, right: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (owner[left], owner[right], value)], names=["a", "b", "jaccard"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b, set_a, set_b, jaccard) of the pairs whose true similarity is at least the threshold; small tallies rule out most of the others before whole sets are moved."""
-    maybe = materialise(_bring(docs, pairs, n, _tallies, _may_be(threshold)).select("a", "b").distinct(), "maybe")
-    return _bring(docs, maybe, n, _six_bytes, _is(threshold))
+def _as_sums(owner: np.ndarray, name: np.ndarray, left: np.ndarray, right: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, name, links, near): of each set the number of its partners in this place, and the least document of all that hang together here."""
+    if len(left):
+        links = np.bincount(left, minlength=len(owner)) + np.bincount(right, minlength=len(owner))
+        least, here = hang_together(owner, left, right), np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(c[here]) for c in (owner, name, links, least)], names=["id", "name", "links", "near"])
 
 
-def _pairs_of_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """signatures; (n, set1, set2, prefix, rep, copies) of each set; and the verified pairs of representatives, where an id of several texts is paired with itself too."""
+def _sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """docs as they are read; signatures; (n, set1, set2, prefix, rep, copies) of each set; and the pairs of representatives that may be similar."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     shared = _order(docs, n)
     sig = materialise(signatures(docs, n, threshold, shared).distinct(), "signatures")
-    reps = sig.groupBy("n", "set1", "set2", "prefix").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    groups = reps.groupBy("n", "prefix").agg(F.min("rep").alias("head"), F.count("*").alias("members"))
-    member = materialise(reps.join(groups, ["n", "prefix"]).select("head", "rep", "members"), "groups")
-    heads = member.filter("head = rep").select(F.col("head").alias("doc_id"))
-    silent = sig.select("doc_id").distinct().join(heads, "doc_id", "left_anti")
+    reps = materialise(sig.groupBy("n", "set1", "set2", "prefix").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
+    heads = reps.groupBy("n", "prefix").agg(F.min("rep").alias("head"), F.count("*").alias("members"))
+    heads = materialise(heads, "groups")
+    silent = sig.select("doc_id").distinct().join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_anti")
     rows = _prefix_rows(keep_ids(docs, silent, "left_anti").select("doc_id", "text"), n, threshold, shared)
-    between = _candidates(rows, threshold)
-    crowd = member.filter("members > 1")
-    inside = crowd.select("head", F.col("rep").alias("a")).join(crowd.select("head", F.col("rep").alias("b")), "head").filter("a < b").select("a", "b")
-    left, right = member.select(F.col("head").alias("a"), F.col("rep").alias("x")), member.select(F.col("head").alias("b"), F.col("rep").alias("y"))
-    across = between.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b")
-    own = member.groupBy("rep").count().filter("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    pairs = materialise(inside.union(across).union(own).distinct(), "candidates")
-    return sig, reps, _verified(docs, pairs, n, threshold)
+    between = materialise(_candidates(rows, threshold), "between")
+    # groups of several sets; all others are their only member
+    crowd = heads.filter("members > 1").select("n", "prefix", "head")
+    crowd = materialise(reps.join(checked_broadcast(crowd, 32), ["n", "prefix"]).select("head", "rep"), "members")
+    side = checked_broadcast(crowd, 24)
+    inside = crowd.withColumnRenamed("rep", "a").join(side.withColumnRenamed("rep", "b"), "head").filter("a < b").select("a", "b")
+    across = between
+    for end in "ab":
+        across = across.join(side.select(F.col("head").alias(end), F.col("rep").alias(f"r{end}")), end, "left").withColumn(end, F.coalesce(f"r{end}", end)).drop(f"r{end}")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
+    both = reps.groupBy("rep").count().filter("count > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))  # two sets of one id
+    pairs = materialise((between if crowd.isEmpty() else inside.union(across).distinct()).select("a", "b").union(both), "candidates")
+    discard(between, crowd, heads)
+    return docs, sig, reps, pairs
 
 
 def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: similar pairs of documents.
-
-    Complete but for copies: of documents with equal n-gram sets only the
-    lowest id is compared with others, and the rest are paired with it, at
-    1.0.  Rows without an id or without words are in no pair; a text of fewer
-    than n words is one n-gram; rows that repeat an id with other texts count
-    as one document whose pairs are those of any of its texts.  An empty
-    table gives no pairs; other columns are not looked at.
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: similar pairs of representatives, and each other document of a class with its representative.
+
+    Of documents with equal n-gram sets the lowest id is compared with others,
+    and the rest are paired with it, at 1.0.  Rows without an id or without
+    words are in no pair; a text of fewer than n words is one n-gram; rows
+    that repeat an id with other texts count as one document whose pairs are
+    those of any of its texts.  An empty table gives no pairs; other columns
+    are not looked at.
     """
-    sig, reps, found = _pairs_of_sets(docs, n, threshold)
+    docs, sig, reps, pairs = _sets(docs, n, threshold)
+    found, _ = _bring(docs, pairs, reps, n, threshold, _as_pairs, "a long, b long, jaccard double")
     many = reps.filter("copies > 1").drop("copies", "prefix")
     copies = sig.join(many, ["n", "set1", "set2"]).filter("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     found = found.filter("a <> b").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
     return copies.union(found).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def every_pair(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: every similar pair of documents, copies among them.
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, set_id, copies, links): one row for each document that is similar to another one.
 
-    k documents with equal n-gram sets give all their k(k-1)/2 pairs at 1.0,
-    and each of them has the pairs that any of them has.  As to nulls, short
-    texts, ids that repeat and empty tables it is as `similar`.
-    """
-    sig, reps, found = _pairs_of_sets(docs, n, threshold)
-    parts = materialise(reps.select(F.col("set1").alias("name"), "copies", F.ceil(F.col("copies") / _MEMBERS).alias("parts")), "sets")
-    same = parts.filter("copies > 1").select(F.col("name").alias("set_a"), F.col("name").alias("set_b"), F.lit(1.0).alias("jaccard"))
-    differ = found.filter("set_a <> set_b").select(F.least("set_a", "set_b").alias("set_a"), F.greatest("set_a", "set_b").alias("set_b"), "jaccard").distinct()
-    pairs = same.union(differ)
-    member = sig.select(F.col("set1").alias("name"), "doc_id").join(parts, "name").select("name", "doc_id", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"))
-    member = materialise(member, "members")
-    for side in "ab":  # the members of a large set are spread over several parts
-        count = parts.select(F.col("name").alias(f"set_{side}"), "parts")
-        pairs = pairs.join(count, f"set_{side}").withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    for side in "ab":
-        pairs = pairs.join(member.select(F.col("name").alias(f"set_{side}"), F.col("part").alias(f"part_{side}"), F.col("doc_id").alias(side)), [f"set_{side}", f"part_{side}"])
-    pairs = pairs.filter("a < b OR (a > b AND set_a <> set_b)")
-    return pairs.groupBy(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
-
-
-def groups(pairs: DataFrame) -> DataFrame:
-    """(doc_id, group): connected groups of pairs, named by their lowest id; the lowest id itself has a row too.
-
-    Every label is lowered to the lowest of its neighbours and then to that
-    label's own label, until nothing changes; the steps needed grow with the
-    logarithm of a group's width.
+    set_id is the lowest id of the documents with the same n-gram set, copies
+    their number, links the number of other sets that are similar to it, and
+    class_id the lowest id of all documents that hang together by equal or
+    similar sets.  An id that repeats with other texts is one document: it has
+    the lowest set_id and the sum of the copies and links of its texts.  Rows
+    without an id or without words are similar to none; a text of fewer than n
+    words is one n-gram; ties go to the lowest id.  An empty table gives no
+    rows; other columns are not looked at.
     """
-    edges = pairs.select(F.col("doc_a").alias("x"), F.col("doc_b").alias("y"))
-    edges = materialise(edges.union(edges.select("y", "x")), "edges")
-    label = materialise(edges.groupBy("x").agg(F.least(F.min("x"), F.min("y")).alias("l")), "labels")
-    while True:
-        near = edges.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        low = label.join(near, "x").select("x", "l", F.least("l", "m").alias("m"))
-        jump = label.select(F.col("x").alias("m"), F.col("l").alias("j"))
-        new = materialise(low.join(jump, "m", "left").select("x", F.least("m", "j").alias("l"), F.col("l").alias("old")), "labels")
-        if new.filter("l <> old").isEmpty():
-            return new.select(F.col("x").alias("doc_id"), F.col("l").alias("group"))
-        label = new.select("x", "l")
+    docs, sig, reps, pairs = _sets(docs, n, threshold)
+    found, used = _bring(docs, pairs, reps, n, threshold, _as_sums, "id long, name long, links long, near long")
+    found = materialise(found, "links")
+    discard(pairs, *used)
+    linked = found.groupBy("id", "name").agg(F.sum("links").alias("links"))
+    linked = materialise(linked.select(F.col("id").alias("rep"), F.col("name").alias("set1"), "links"), "linked")
+    of = reps.join(checked_broadcast(linked, 32), ["rep", "set1"], "left").filter("copies > 1 OR links > 0")
+    of = materialise(of.select("n", "set1", "set2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links")), "sets-linked")
+    member = materialise(sig.join(checked_broadcast(of, 56), ["n", "set1", "set2"]).select("doc_id", "rep", "copies", "links"), "members")
+    out = member.groupBy("doc_id").agg(F.min("rep").alias("set_id"), F.sum("copies").alias("copies"), F.sum("links").alias("links"), F.max("rep").alias("last"))
+    out = materialise(out, "similar")
+    several = member.join(out.filter("set_id <> last").select("doc_id"), "doc_id", "left_semi")
+    edges = found.select(F.col("id").alias("doc_a"), F.col("near").alias("doc_b")).union(several.select("doc_id", "rep"))
+    group = groups(edges.filter("doc_a <> doc_b"))
+    discard(sig, reps, linked, of, found, member)
+    out = out.join(checked_broadcast(group, 24).withColumnRenamed("doc_id", "set_id"), "set_id", "left")
+    return out.select("doc_id", F.coalesce("group", "set_id").alias("class_id"), "set_id", "copies", "links")
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -464,8 +495,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
 
     Rows without an id or words stay.  Repeated rows of one id become one row.
     """
-    grouped = groups(similar(docs, n, threshold))
-    drop = materialise(grouped.filter("doc_id <> group").select("doc_id"), "copies")
+    drop = materialise(classes(docs, n, threshold).filter("doc_id <> class_id").select("doc_id"), "copies")
     kept = keep_ids(docs, drop, "left_anti").select(docs.columns)
     twice = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     twice = materialise(twice, "repeated")

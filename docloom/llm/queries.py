@@ -89,8 +89,8 @@ SELECT vec_a, vec_b, round(max(c), 4) AS cosine FROM p WHERE c >= {pq.THRESHOLD}
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of similar documents."""
-    return jaccard_join.every_pair(read(spark, sf_dir, "documents"))
+    """Every document that is similar to another one, with its class and the number of its links."""
+    return jaccard_join.classes(read(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_CHARS = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -133,6 +135,13 @@ def text_blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[slice]:
     return blocks(np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts)), limit)
 
 
+def text_parts(batch: pa.RecordBatch, column: int, limit: int = BLOCK_CHARS) -> Iterator[tuple[slice, list[str | None]]]:
+    """The batch's texts in blocks of about limit bytes, of which one at a time is made into Python strings."""
+    texts = batch.column(column)
+    for part in blocks(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), limit):
+        yield part, texts.slice(part.start, part.stop - part.start).to_pylist()
+
+
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each window of w values, by doubling."""
     if len(a) < w:

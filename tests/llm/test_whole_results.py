@@ -1,15 +1,18 @@
 """Results that must be whole: what an operator finds for one of several rows it finds for all of them."""
 
 import pytest
-from helpers import ODD, frame, pairs, text
+from helpers import ODD, frame, text
 from test_near_duplicates import grams, near_copies
 
-from docloom.llm import jaccard_join, kneser_ney, pii
+from docloom.llm import common, jaccard_join, kneser_ney, pii
 
 
-@pytest.mark.parametrize("members", [1000, 3])
-def test_jaccard_join_gives_every_pair_of_copies(spark, monkeypatch, members):
-    monkeypatch.setattr(jaccard_join, "_MEMBERS", members)
+@pytest.mark.parametrize("crowd,limit", [(200_000, 1 << 26), (3, 0)])
+def test_jaccard_classes_against_brute_force(spark, monkeypatch, crowd, limit):
+    """Both with and without broadcasts, and with crowds that are split."""
+    monkeypatch.setattr(jaccard_join, "_CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "_PAIR_BLOCK", crowd)
+    monkeypatch.setattr(jaccard_join, "checked_broadcast", lambda df, row_bytes: common.checked_broadcast(df, row_bytes, limit))
     base = text("copied", 60)
     rows = near_copies() + ODD
     rows += [(200 + i, base) for i in range(8)] + [(300 + i, base.replace(base.split()[30], "other")) for i in range(4)]
@@ -18,22 +21,30 @@ def test_jaccard_join_gives_every_pair_of_copies(spark, monkeypatch, members):
     sets = {}
     for i, t in rows:
         if i is not None and grams(t):
-            sets.setdefault(i, set()).add(grams(t))
+            sets.setdefault(grams(t), set()).add(i)
+    links = {x: {y for y in sets if y != x and len(x & y) / len(x | y) >= jaccard_join.THRESHOLD - 1e-12} for x in sets}
+    head = {}
+
+    def find(x):
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    for x, own in sets.items():
+        for group in [own, *(own | sets[y] for y in links[x])]:
+            low = min(map(find, group))
+            for i in group:
+                head[find(i)] = low
     want = {}
-    for a in sets:
-        for b in sets:
-            if a < b:
-                j = max(len(x & y) / len(x | y) for x in sets[a] for y in sets[b])
-                if j >= jaccard_join.THRESHOLD - 1e-12:
-                    want[a, b] = j
+    for i in {i for own in sets.values() for i in own}:
+        mine = [x for x, own in sets.items() if i in own and (len(own) > 1 or links[x])]
+        if mine:
+            want[i] = (find(i), min(min(sets[x]) for x in mine), sum(len(sets[x]) for x in mine), sum(len(links[x]) for x in mine))
     docs = frame(spark, rows)
-    got = jaccard_join.every_pair(docs)
-    assert got.count() == len(want)
-    got = pairs(got)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert {(200 + i, 200 + j) for i in range(8) for j in range(i)} <= {(b, a) for a, b in got}
-    assert {(200 + i, 300 + j) for i in range(8) for j in range(4)} <= got.keys() and (151, 152) in got and (151, 153) not in got
-    assert jaccard_join.every_pair(docs.limit(0)).count() == 0
+    got = [(r["doc_id"], (r["class_id"], r["set_id"], r["copies"], r["links"])) for r in jaccard_join.classes(docs).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert want[300] == (200, 300, 4, 1) and want[207] == (200, 200, 8, 1) and len(want) > 40
+    assert jaccard_join.classes(docs.limit(0)).count() == 0
 
 
 CARDS = ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500 0055 5555 5559", "4012-8888-8888-1881", "3782 822463 10005"]
