@@ -242,13 +242,18 @@ def clean_text(s: str) -> str:
 
 
 def _main(root: Node) -> Node:
+    """The first element, in the order of the document, that passes the first test that any passes; an id must be one of the names, a class hold one."""
+
+    def said(n: Node, attribute: str) -> str:
+        return (n.attrs.get(attribute) or "").lower()
+
     nodes = [n for n in root.walk() if n.tag != "#document"]
     for test in (
         lambda n: n.tag == "main",
         lambda n: n.tag == "article",
-        lambda n: n.attrs.get("role") == "main",
-        *(lambda n, i=i: n.attrs.get("id") == i for i in _MAIN_IDS),
-        *(lambda n, c=c: c in n.attrs.get("class", "").split() for c in _MAIN_CLASSES),
+        lambda n: said(n, "role") == "main",
+        lambda n: said(n, "id") in _MAIN_IDS,
+        lambda n: any(part in word for word in said(n, "class").split() for part in _MAIN_CLASSES),
         lambda n: n.tag == "body",
     ):
         for n in nodes:

@@ -1,16 +1,18 @@
-"""PDF: headings inferred from font sizes, as DataFrame operators over a table of text lines.
+"""PDF: headings inferred from font sizes, of one file while it is parsed or as DataFrame operators over a table of text lines.
 
-The lines (doc_id, seq, page, text, size, bold) come from an extractor that is
-plugged in, or from PyMuPDF where that can be imported; without either a PDF is
-an empty document.
+The lines of a file come from pdf_text; a table of lines (doc_id, seq, page,
+text, size, bold) may come from any extractor.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.sources import pdf_text
 from docloom.sources.structure import Structure
 
 DEFAULT_SIZE = 12.0
@@ -57,15 +59,40 @@ def titles(headings: DataFrame) -> DataFrame:
     return headings.filter("page = 1 AND level <= 2").groupBy("doc_id").agg(F.min_by("text", "pos").alias("title"))
 
 
-def parse(content: bytes) -> Structure:
-    """The text of a PDF, if PyMuPDF is there; else an empty document."""
-    out = Structure()
-    try:
-        import fitz
-    except ImportError:
-        return out
-    if content[:4] == b"%PDF":
-        with fitz.open(stream=content, filetype="pdf") as doc:
-            out.readable_text = "\n".join(page.get_text() for page in doc)
-            out.line_count = out.readable_text.count("\n") + 1
+def is_heading(text: str) -> bool:
+    """The same as likely_heading, of one text that has no white space around."""
+    letters = sum(c.isalpha() for c in text)
+    return 2 <= len(text) <= 150 and ". " not in text[:-1] and 2 * letters >= len(text) and not text.lower().startswith(NOT_HEADINGS) and not text.endswith(("*", "∗"))
+
+
+def level_of(ratio: float, bold: bool, min_ratio: float = MIN_RATIO) -> int | None:
+    """The same as heading_level, of one line."""
+    for level, (plain, heavy) in enumerate([(2.0, 1.5), (1.5, 1.3), (1.25, 1.15)], 1):
+        if ratio >= plain or bold and ratio >= heavy:
+            return level
+    return 4 if ratio >= min_ratio or bold else None
+
+
+def parse(content: bytes, infer: bool = True, detect_tables: bool = True, min_ratio: float = MIN_RATIO) -> Structure:
+    """The structure of a PDF: its text, headings told by size and weight, the sections they begin, the headers of its tables, and the first large heading of page 1 as its title.
+
+    infer and detect_tables switch headings and tables off; min_ratio is the
+    least ratio to the body's size of a heading that isn't bold.  What is no
+    PDF is an empty document.
+    """
+    found = pdf_text.lines(content)
+    out = Structure(readable_text="\n".join("    ".join(t for _, t in x.cells) for x in found), line_count=len(found))
+    counts = Counter(round(x.size, 1) for x in found)
+    body = min((-n, s) for s, n in counts.items())[1] if counts else DEFAULT_SIZE
+    seen: set[str] = set()
+    for x in found if infer else ():
+        level = level_of(x.size / body if body > 0 else 1.0, x.bold, min_ratio)
+        if level and x.text not in seen and is_heading(x.text):
+            seen.add(x.text)
+            out.add_heading(level, x.text)
+            if not out.title and x.page == 1 and level <= 2:
+                out.title = x.text
+    for t in pdf_text.tables(found) if detect_tables else ():
+        out.add_table(t[0], [])
+    out.sections_from_headings(with_lines=False)
     return out

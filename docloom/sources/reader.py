@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom.plans.corpus import Corpus
 from docloom.sources import data, formats, html, markdown, pdf
@@ -21,22 +22,33 @@ class Registry:
 
     def __init__(self):
         self._parsers: dict[str, tuple[Parser, frozenset[str]]] = {}
+        self._extensions: dict[str, list[Callable[[Structure, str | bytes], None]]] = {}
         self.register("markdown", markdown.parse)
         self.register("html", html.parse, "readability", "base_url", "max_depth")
         self.register("json", data.parse_json)
         self.register("jsonl", data.parse_jsonl, "max_lines")
         self.register("yaml", data.parse_yaml)
-        self.register("pdf", pdf.parse)
+        self.register("pdf", pdf.parse, "infer", "detect_tables", "min_ratio")
 
     def register(self, name: str, parser: Parser, *options: str) -> None:
         self._parsers[name] = parser, frozenset(options)
 
+    def extend(self, name: str, *extensions: Callable[[Structure, str | bytes], None]) -> None:
+        """Adds to what the parser of a format finds: each extension gets the structure and the content and may change the former."""
+        if name not in self._parsers:
+            raise ValueError(f"no parser for {name}")
+        self._extensions[name] = [*self._extensions.get(name, []), *extensions]
+
     def has(self, name: str) -> bool:
         return name in self._parsers
 
     def parse(self, name: str, content: bytes, **options) -> Structure:
         parser, known = self._parsers[name]
-        return parser(content if name == "pdf" else content.decode("utf-8", "replace"), **{k: v for k, v in options.items() if k in known})
+        text = content if name == "pdf" else content.decode("utf-8", "replace")
+        out = parser(text, **{k: v for k, v in options.items() if k in known})
+        for extension in self._extensions.get(name, []):
+            extension(out, text)
+        return out
 
 
 def schema(want: list[str], keep: list[T.StructField]) -> T.StructType:
@@ -46,8 +58,10 @@ def schema(want: list[str], keep: list[T.StructField]) -> T.StructType:
 
 
 def parse_documents(df: DataFrame, content: str = "content", path: str = "path", format: str | None = None, default: str = "markdown", want: list[str] | None = None, strict: bool = False, registry: Registry | None = None, **options) -> Corpus:
-    """Parses a column of texts or bytes; the other columns of df stay.
+    """Parses a column of texts or bytes, which is called source from then on; the other columns of df stay.
 
+    Columns whose names the corpus needs for itself (format, source, title,
+    headings and so on, in any case) are kept together in a struct, `input`.
     format forces one for all rows; else it is told from path and content, and
     is `default` where no parser is registered for it.  want names the element
     tables that will be asked for, so that no others leave the parser.  A
@@ -60,51 +74,54 @@ def parse_documents(df: DataFrame, content: str = "content", path: str = "path",
     unknown = set(want) - set(ELEMENTS)
     if unknown:
         raise ValueError(f"no such elements: {sorted(unknown)}")
-    if path not in df.columns:
-        df = df.withColumn(path, F.lit(""))
-    keep = [f for f in df.schema.fields if f.name not in ("format", *SCALARS, *ELEMENTS)]
-    df = df.select(*(f"`{f.name}`" for f in keep))
-    out = schema(want, keep)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf_ in parts:
-            rows = []
-            for p, c in zip(pdf_[path], pdf_[content]):
-                raw = b"" if c is None or (isinstance(c, float) and c != c) else c.encode() if isinstance(c, str) else bytes(c)
+    taken = {"format", "source", *SCALARS, *ELEMENTS} - {path}
+    others = [c for c in df.columns if c != content]
+    clash = [c for c in others if c.lower() in taken]
+    clash += [c for c in others if clash and c.lower() == "input"]
+    kept = [f"`{c}`" for c in others if c not in clash] + ([] if path in df.columns else [F.lit("").alias(path)])
+    df = df.select(*kept, *([F.struct(*(f"`{c}`" for c in clash)).alias("input")] if clash else []), F.col(f"`{content}`").alias("source"))
+    out = schema(want, df.schema.fields)
+    added = to_arrow_schema(T.StructType(out.fields[len(df.columns) :]))
+    at_path = df.columns.index(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[list] = [[] for _ in added]
+            for p, c in zip(batch.column(at_path).to_pylist(), batch.column(batch.num_columns - 1)):
+                c = c.as_py()
+                raw = b"" if c is None else c.encode() if isinstance(c, str) else bytes(c)
                 kind = format or formats.detect(p or "", raw)
                 kind = kind if registry.has(kind) else default
                 try:
-                    s = registry.parse(kind, raw, **options)
+                    s = registry.parse(kind, raw, **options).finish()
                 except Exception as e:  # any parser, also one plugged in
                     if strict:
                         raise ValueError(f"{p}: not {kind}: {e}") from e
                     s = Structure(parse_error=f"{type(e).__name__}: {e}"[:500])
-                rows.append([kind, *(getattr(s, k) for k in SCALARS), *(getattr(s, k) for k in want)])
-            made = pd.DataFrame(rows, columns=["format", *SCALARS, *want], index=pdf_.index)
-            made["line_count"] = made["line_count"].astype("int32")
-            yield pd.concat([pdf_, made], axis=1)
+                for column, value in zip(made, [kind, *(getattr(s, k) for k in SCALARS), *(getattr(s, k) for k in want)]):
+                    column.append(value)
+            columns = [pa.array(v, f.type) for v, f in zip(made, added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added.names])
 
-    parsed = df.mapInPandas(run, out)
-    if content != "source":
-        parsed = parsed.withColumnRenamed(content, "source")
-    return Corpus(parsed.withColumn("source", F.col("source").cast("string")), want)
+    return Corpus(df.mapInArrow(run, out).withColumn("source", F.col("source").cast("string")), want)
 
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None, hidden: bool = False, **kwargs) -> Corpus:
     """Every file under a path, or one file, as a corpus; doc_id is the file's path.
 
-    Hidden files are left out unless asked for.  One task reads whole files, so
+    Hidden files, and all in hidden directories, are left out unless asked for.  One task reads whole files, so
     the unit of work is a file and any number of them is read in parallel.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return parse_files(reader.load(path), hidden, **kwargs)
+    return parse_files(reader.load(path), hidden, path, **kwargs)
 
 
-def parse_files(files: DataFrame, hidden: bool = False, **kwargs) -> Corpus:
-    """The corpus of a table of files (path, content), batch or streaming."""
+def parse_files(files: DataFrame, hidden: bool = False, root: str = "", **kwargs) -> Corpus:
+    """The corpus of a table of files (path, content), batch or streaming; whether one is hidden is told from its path below root."""
     files = files.select("path", "content")
     if not hidden:
-        files = files.filter(~F.col("path").rlike(r"/\.[^/]*$"))
+        below = F.substring_index("path", root.rstrip("/"), -1) if root.strip("/") else F.col("path")
+        files = files.filter(~below.rlike(r"/\.[^/]"))
     return parse_documents(files.withColumn("doc_id", F.col("path")), **kwargs)

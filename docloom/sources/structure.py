@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -13,10 +14,12 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-#: Element tables and the columns of each, but for doc_id; pos is the place in the document.
+#: Element tables and the columns of each, but for doc_id; pos is the place in the document.  A section's path has
+#: the section_ids from the top down to its own; the sections below it are those up to `last`, and the code blocks
+#: of all these are those from code_from to before code_to.
 ELEMENTS = {
     "headings": _struct(pos=_I, level=_I, text=_S, id=_S, line=_I),
-    "sections": _struct(section_id=_I, pos=_I, title=_S, level=_I, parent_id=_I, start_line=_I, end_line=_I, indexed=_B),
+    "sections": _struct(section_id=_I, pos=_I, title=_S, level=_I, parent_id=_I, start_line=_I, end_line=_I, indexed=_B, path=T.ArrayType(_I), last=_I, code_from=_I, code_to=_I),
     "code_blocks": _struct(pos=_I, section_id=_I, language=_S, content=_S, lines=_I),
     "links": _struct(pos=_I, text=_S, url=_S),
     "images": _struct(pos=_I, alt_text=_S, url=_S, title=_S),
@@ -71,7 +74,7 @@ class Structure:
 
     def add_section(self, title: str, level: int, parent: int | None, start: int = 0, end: int = 0, indexed: bool = True) -> int:
         ident = len(self.sections)
-        self.sections.append({"section_id": ident, "pos": ident, "title": title, "level": level, "parent_id": parent, "start_line": start, "end_line": end, "indexed": indexed})
+        self.sections.append({"section_id": ident, "pos": ident, "title": title, "level": level, "parent_id": parent, "start_line": start, "end_line": end, "indexed": indexed, "path": [*(self.sections[parent]["path"] if parent is not None else []), ident], "last": ident, "code_from": 0, "code_to": 0})
         return ident
 
     def sections_from_headings(self, with_lines: bool) -> None:
@@ -87,6 +90,17 @@ class Structure:
         for s in self.sections:
             s["indexed"] = last[s["title"]] == s["section_id"]
 
+    def finish(self) -> Structure:
+        """What lies below each section; sections and code blocks are in the order of the document."""
+        for s in reversed(self.sections):
+            if s["parent_id"] is not None:
+                up = self.sections[s["parent_id"]]
+                up["last"] = max(up["last"], s["last"])
+        owner = [-1 if c["section_id"] is None else c["section_id"] for c in self.code_blocks]
+        for s in self.sections:
+            s["code_from"], s["code_to"] = bisect_left(owner, s["section_id"]), bisect_right(owner, s["last"])
+        return self
+
     def code_to_sections(self, lines: list[int]) -> None:
         """Puts each code block into the section whose heading comes last before it; lines: where each block begins."""
         at = -1
