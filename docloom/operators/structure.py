@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,16 +33,29 @@ def hierarchy(headings: DataFrame, line_count: Column | None = None) -> DataFram
     return out.withColumn("indexed", last).drop(*(f"{a}{k}" for a in "pn" for k in range(1, 7)))
 
 
-def with_paths(sections: DataFrame) -> DataFrame:
-    """sections with path, the section_ids from the top down to the section itself, and depth.
+def section_text(section: Column, lines: Column) -> Column:
+    """What stands between a section's lines; lines: those of the document."""
+    n = F.greatest(section["end_line"] - section["start_line"] + 1, F.lit(0))
+    return F.when((section["start_line"] > 0) & (n > 0), F.array_join(F.slice(lines, section["start_line"], n), "\n")).otherwise("")
+
+
+def with_lines(make: Callable[[Column], Column]) -> Column:
+    """make of the document's lines, which are split off its source once however often make uses them."""
+    return F.get(F.transform(F.array(F.split("source", "\n")), make), F.lit(0))
+
+
+def below(section: Column, sections: Column | str = "sections") -> Column:
+    """The section and all below it, as a part of the array of sections."""
+    return F.slice(sections, section["section_id"] + 1, section["last"] - section["section_id"] + 1)
 
-    One pass over each document's own sections: nothing but doc_id is shuffled on.
-    """
-    whole = W.partitionBy("doc_id").orderBy("section_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # parents come before their children, so the levels below one's own that are still open are the way up
-    history = F.collect_list(F.struct("section_id", "level")).over(whole)
-    way = F.aggregate(F.reverse(history), F.array().cast("array<struct<section_id:int,level:int>>"), lambda acc, x: F.when((F.size(acc) == 0) | (x["level"] < F.element_at(acc, 1)["level"]), F.concat(F.array(x), acc)).otherwise(acc))
-    return sections.withColumn("path", F.transform(way, lambda x: x["section_id"])).withColumn("depth", F.size("path") - 1)
+
+def children_of(section: Column) -> Column:
+    return F.filter(below(section), lambda c: c["parent_id"] == section["section_id"])
+
+
+def code_of(section: Column) -> Column:
+    """Code blocks of a section and of those below it."""
+    return F.slice("code_blocks", section["code_from"] + 1, section["code_to"] - section["code_from"])
 
 
 def children(corpus: Corpus, sections: DataFrame) -> DataFrame:
@@ -49,71 +64,83 @@ def children(corpus: Corpus, sections: DataFrame) -> DataFrame:
     return corpus.sections().join(own, "doc_id").filter(F.col("parent_id") == F.col("__parent")).drop("__parent")
 
 
-def section_code(corpus: Corpus, sections: DataFrame) -> DataFrame:
-    """Code blocks of some sections and of the sections below them."""
-    own = sections.select("doc_id", F.col("section_id").alias("__top")).distinct()
-    paths = with_paths(corpus.sections(text=False)).select("doc_id", "section_id", F.explode("path").alias("__top"))
-    held = paths.join(own, ["doc_id", "__top"]).select("doc_id", "section_id").distinct()
-    return corpus.code_blocks.join(held, ["doc_id", "section_id"]).select("doc_id", "pos", "section_id", "language", "content", "lines")
+def section_code(corpus: Corpus, chosen: Callable[[Column], Column]) -> DataFrame:
+    """Code blocks of the sections that meet a condition and of the sections below them, each once; made inside the arrays of each document."""
+    blocks = F.flatten(F.transform(F.filter("sections", chosen), code_of))
+    return corpus.parsed.select("doc_id", F.explode(F.array_distinct(blocks)).alias("e")).select("doc_id", "e.*")
+
+
+def found(term: str, lines: Column) -> Column:
+    """Of each section whose text holds the term, whatever the case: pos, section, level, lines, match."""
+    texts = F.transform(F.filter("sections", lambda s: s["indexed"]), lambda s: F.struct(s.alias("s"), section_text(s, lines).alias("t")))
+    hits = F.filter(texts, lambda x: F.contains(F.lower(x["t"]), F.lit(term.lower())))
+
+    def hit(x: Column) -> Column:
+        span = F.concat_ws("-", x["s"]["start_line"].cast("string"), x["s"]["end_line"].cast("string"))
+        return F.struct(x["s"]["pos"].alias("pos"), x["s"]["title"].alias("section"), x["s"]["level"].alias("level"), span.alias("lines"), X.snippet(x["t"], term).alias("match"))
+
+    return F.transform(hits, hit)
 
 
 def search(corpus: Corpus, term: str) -> DataFrame:
     """(doc_id, pos, section, level, lines, match): sections whose text holds the term, whatever the case."""
-    rows = corpus.sections().filter("indexed").filter(F.contains(F.lower("text"), F.lit(term.lower())))
-    span = F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string"))
-    return rows.select("doc_id", "pos", F.col("title").alias("section"), "level", span.alias("lines"), X.snippet(F.col("text"), term).alias("match"))
+    return corpus.parsed.select("doc_id", F.explode(with_lines(lambda ls: found(term, ls))).alias("e")).select("doc_id", "e.*")
 
 
-def tree(corpus: Corpus, mode: str = "", scope: DataFrame | None = None) -> DataFrame:
-    """Rows of each document's outline: (doc_id, seq, depth, type, text, preview, start_line, end_line, level, meta).
+def outline(mode: str, lines: Column, scope: Column | None = None) -> Column:
+    """Rows of a document's outline, in order: depth, type, text, preview, start_line, end_line, level, meta.
 
     Sections in order; "" adds the code blocks of each by language, "preview"
     and "full" the first line of prose, "compact" nothing.  A top section that
     a later one of the same title hides is left out with all below it.  With a
-    scope only the parts below those sections, where blocks count with those
-    of the sections below.
+    scope, an array of sections, only these and what is below them, where
+    blocks count with those of the sections below.
     """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode!r}")
-    rows = with_paths(corpus.sections(text=mode in ("preview", "full")))
-    top = rows.filter("parent_id IS NULL AND indexed").select("doc_id", F.col("section_id").alias("__top")) if scope is None else scope.select("doc_id", F.col("section_id").alias("__top")).distinct()
-    rows = rows.join(top, "doc_id").filter(F.array_contains("path", F.col("__top"))).withColumn("depth", F.size("path") - F.array_position("path", F.col("__top")))
-    preview = X.preview(F.col("text")) if mode in ("preview", "full") else F.lit("")
     none = F.lit(None).cast("int")
-    out = rows.select("doc_id", F.struct(F.col("__top").alias("top"), F.col("section_id").alias("section"), F.lit("").alias("language")).alias("order"), F.col("depth").cast("int"), F.lit("section").alias("type"), F.col("title").alias("text"), preview.alias("preview"), "start_line", "end_line", "level", F.lit("").alias("meta"))
-    if not mode:
-        blocks = corpus.code_blocks.select("doc_id", "section_id", F.coalesce(F.nullif("language", F.lit("")), F.lit("plain")).alias("language"))
-        if scope is None:
-            held = rows.select("doc_id", "section_id", "__top", "depth").join(blocks, ["doc_id", "section_id"])
-        else:
-            below = rows.select("doc_id", F.col("section_id").alias("below"), F.explode("path").alias("section_id"), "__top")
-            at = rows.select("doc_id", "section_id", "__top", "depth")
-            held = below.join(at, ["doc_id", "section_id", "__top"]).join(blocks.withColumnRenamed("section_id", "below"), ["doc_id", "below"])
-        counts = held.groupBy("doc_id", "section_id", "__top", "depth", "language").count()
-        meta = F.concat(F.col("count").cast("string"), F.when(F.col("count") > 1, " blocks").otherwise(" block"))
-        out = out.unionByName(counts.select("doc_id", F.struct(F.col("__top").alias("top"), F.col("section_id").alias("section"), "language").alias("order"), (F.col("depth") + 1).cast("int").alias("depth"), F.lit("code").alias("type"), F.col("language").alias("text"), F.lit("").alias("preview"), none.alias("start_line"), none.alias("end_line"), none.alias("level"), meta.alias("meta")))
-    seq = F.row_number().over(W.partitionBy("doc_id").orderBy("order")) - 1
-    return out.withColumn("seq", seq).select("doc_id", "seq", "depth", "type", "text", "preview", "start_line", "end_line", "level", "meta")
+
+    def row(depth: Column, kind: str, text: Column, preview: Column, start: Column, end: Column, level: Column, meta: Column) -> Column:
+        values = {"depth": depth.cast("int"), "type": F.lit(kind), "text": text, "preview": preview, "start_line": start, "end_line": end, "level": level, "meta": meta}
+        return F.struct(*(v.alias(k) for k, v in values.items()))
+
+    def rows(s: Column, depth: Column) -> Column:
+        preview = X.preview(section_text(s, lines)) if mode in ("preview", "full") else F.lit("")
+        own = F.array(row(depth, "section", s["title"], preview, s["start_line"], s["end_line"], s["level"], F.lit("")))
+        if mode:
+            return own
+        blocks = code_of(s) if scope is not None else F.filter(code_of(s), lambda b: b["section_id"] == s["section_id"])
+        named = F.transform(blocks, lambda b: F.coalesce(F.nullif(b["language"], F.lit("")), F.lit("plain")))
+
+        def code(name: Column) -> Column:
+            n = F.size(F.filter(named, lambda x: x == name))
+            return row(depth + 1, "code", name, F.lit(""), none, none, none, F.concat(n.cast("string"), F.when(n > 1, " blocks").otherwise(" block")))
+
+        return F.concat(own, F.transform(F.array_sort(F.array_distinct(named)), code))
+
+    if scope is None:
+        tops = F.transform(F.filter("sections", lambda s: s["indexed"] & s["parent_id"].isNull()), lambda s: s["section_id"])
+        shown = F.filter("sections", lambda s: F.array_contains(tops, F.get(s["path"], F.lit(0))))
+        return F.flatten(F.transform(shown, lambda s: rows(s, F.size(s["path"]) - 1)))
+    return F.flatten(F.transform(scope, lambda t: F.flatten(F.transform(below(t), lambda s: rows(s, F.size(s["path"]) - F.size(t["path"]))))))
+
+
+def tree(corpus: Corpus, mode: str = "") -> DataFrame:
+    """(doc_id, seq, depth, type, text, preview, start_line, end_line, level, meta): each document's outline."""
+    return corpus.parsed.select("doc_id", F.posexplode(with_lines(lambda ls: outline(mode, ls))).alias("seq", "e")).select("doc_id", "seq", "e.*")
 
 
 def files(corpus: Corpus, mode: str = "") -> DataFrame:
-    """(path, lines, sections, headings): each file's size and, for "preview" and "full", its top headings and their children of level 1 or 2."""
+    """(path, lines, sections, headings, previews, parse_error): each file's size and, for "preview" and "full", its top headings and their children of level 1 or 2; for "full" the first line of prose of each too."""
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode!r}")
-    base = corpus.parsed.select("path", F.col("line_count").alias("lines"), F.size(F.filter("sections", lambda s: s["indexed"])).alias("sections"), F.col("sections").alias("__s"), "source")
-    if mode not in ("preview", "full"):
-        return base.select("path", "lines", "sections", F.array().cast("array<string>").alias("headings"))
-    tops = F.filter("__s", lambda s: s["indexed"] & s["parent_id"].isNull())
-    ids = F.transform(tops, lambda s: s["section_id"])
-    shown = F.filter("__s", lambda s: F.array_contains(ids, s["section_id"]) | (F.coalesce(F.array_contains(ids, s["parent_id"]), F.lit(False)) & (s["level"] <= 2)))
-    name = lambda s: F.concat(F.repeat(F.lit("#"), s["level"]), F.lit(" "), s["title"])
-    if mode == "full":
-        def with_preview(s: Column) -> Column:
-            p = X.preview(X.line_range(F.col("source"), s["start_line"], s["end_line"]))
-            return F.concat(name(s), F.when(p != "", F.concat(F.lit(" — "), p)).otherwise(""))
-
-        return base.select("path", "lines", "sections", F.transform(shown, with_preview).alias("headings"))
-    return base.select("path", "lines", "sections", F.transform(shown, name).alias("headings"))
+    indexed = F.filter("sections", lambda s: s["indexed"])
+    none = F.array().cast("array<string>")
+    ids = F.transform(F.filter("sections", lambda s: s["indexed"] & s["parent_id"].isNull()), lambda s: s["section_id"])
+    shown = F.filter("sections", lambda s: F.array_contains(ids, s["section_id"]) | (F.coalesce(F.array_contains(ids, s["parent_id"]), F.lit(False)) & (s["level"] <= 2)))
+    headings = F.transform(shown, lambda s: F.concat(F.repeat(F.lit("#"), s["level"]), F.lit(" "), s["title"])) if mode in ("preview", "full") else none
+    previews = with_lines(lambda ls: F.transform(shown, lambda s: X.preview(section_text(s, ls)))) if mode == "full" else none
+    return corpus.parsed.select("path", F.col("line_count").alias("lines"), F.size(indexed).alias("n"), headings.alias("h"), previews.alias("previews"), "parse_error").withColumnsRenamed({"n": "sections", "h": "headings"})
 
 
 def directories(corpus: Corpus, root: str = "") -> DataFrame:
@@ -131,3 +158,8 @@ def summary(corpus: Corpus) -> DataFrame:
     languages = F.array_sort(F.array_distinct(F.filter(F.transform("code_blocks", lambda c: c["language"]), lambda x: x != "")))
     toc = F.transform(F.filter("sections", lambda s: s["indexed"] & s["parent_id"].isNull()), lambda s: s["title"])
     return corpus.parsed.select("doc_id", "path", "format", "title", "line_count", "metadata", F.size(F.filter("sections", lambda s: s["indexed"])).alias("n_sections"), *n.values(), languages.alias("languages"), toc.alias("contents"))
+
+
+def details(corpus: Corpus) -> DataFrame:
+    """One row for each document with all that a summary of it shows."""
+    return corpus.parsed.select("doc_id", "path", "format", "title", "readable_text", "metadata", corpus.metadata("owner").alias("owner"), corpus.tags().alias("tags"), corpus.metadata("priority").alias("priority"), "headings", "sections", "code_blocks", "tables", "links", "images")

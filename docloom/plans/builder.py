@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,10 +14,14 @@ from docloom.plans.corpus import Corpus
 
 
 class Builder:
-    def __init__(self, corpus: Corpus, now: Relation | None = None):
-        self.corpus, self.now = corpus, now or Compiler(corpus).start()
+    """What is selected so far: a relation inside the documents' arrays, or rows of it after a condition or an expression on columns."""
+
+    def __init__(self, corpus: Corpus, now: Relation | None = None, made: DataFrame | None = None):
+        self.corpus, self.now, self.made = corpus, now or Compiler(corpus).start(), made
 
     def _select(self, name: str, *args) -> Builder:
+        if self.made is not None:
+            raise QueryError(f"{name} can't follow a condition or an expression on columns")
         return Builder(self.corpus, Compiler(self.corpus).select(Selector(name, tuple(Literal(a) for a in args)), self.now))
 
     def headings(self, *levels: int) -> Builder:
@@ -46,10 +52,13 @@ class Builder:
         return self._select("text")
 
     def _gate(self, corpus: Corpus) -> Builder:
-        if self.now.kind == "document":
-            return Builder(corpus)
+        if self.made is None:
+            return Builder(corpus, replace(self.now, corpus=corpus))
         ids = corpus.parsed.select("doc_id").distinct()
-        return Builder(corpus, Relation(self.now.kind, self.now.df.join(ids, "doc_id", "left_semi"), self.now.type))
+        return Builder(corpus, replace(self.now, corpus=corpus), self.made.join(ids, "doc_id", "left_semi"))
+
+    def _rows(self) -> DataFrame:
+        return self.now.numbered() if self.made is None else self.made
 
     def where_owner(self, owner: str) -> Builder:
         """Goes on with the documents of that owner alone."""
@@ -62,29 +71,36 @@ class Builder:
         return self._gate(self.corpus.where_priority(priority))
 
     def filter(self, condition: Column | str) -> Builder:
-        return Builder(self.corpus, Relation(self.now.kind, self.now.df.filter(condition), self.now.type))
+        return Builder(self.corpus, self.now, self._rows().filter(condition))
 
     def map(self, expression: Column | str, type: str = "string") -> Builder:  # noqa: A002
         value = F.expr(expression) if isinstance(expression, str) else expression
-        return Builder(self.corpus, Relation("values", self.now.df.select("doc_id", "ord", value.alias("value")), type))
+        return Builder(self.corpus, replace(self.now, kind="values", type=type), self._rows().select("doc_id", "ord", value.alias("value")))
 
     def _ranked(self, condition: Column) -> Builder:
-        rows = self.now.df.withColumn("__k", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")))
-        return Builder(self.corpus, Relation(self.now.kind, rows.filter(condition).drop("__k"), self.now.type))
+        rows = self._rows().withColumn("__k", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")))
+        return Builder(self.corpus, self.now, rows.filter(condition).drop("__k"))
 
     def take(self, n: int) -> Builder:
         """The first n rows of each document."""
+        if self.made is None and self.now.kind != "document":
+            return Builder(self.corpus, Compiler(self.corpus).between(self.now, 0, n))
         return self._ranked(F.col("__k") <= n)
 
     def skip(self, n: int) -> Builder:
+        if self.made is None and self.now.kind != "document":
+            return Builder(self.corpus, Compiler(self.corpus).between(self.now, n, None))
         return self._ranked(F.col("__k") > n)
 
     def count(self) -> DataFrame:
         """(doc_id, value): rows of each document, 0 where there are none."""
-        return Compiler(self.corpus).length(self.now).rows()
+        if self.made is None and self.now.kind not in ("document", "values"):
+            return Compiler(self.corpus).length(self.now).rows()
+        none = self.corpus.parsed.select("doc_id", F.lit(0).alias("n"))
+        return self._rows().select("doc_id", F.lit(1).alias("n")).union(none).groupBy("doc_id").agg(F.sum("n").alias("value"))
 
     def result(self) -> DataFrame:
-        return self.now.rows()
+        return self._rows().drop("ord")
 
     def _as(self, kind: str) -> DataFrame:
         if self.now.kind != kind:

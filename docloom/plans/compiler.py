@@ -1,23 +1,26 @@
 """Compiles the pipe language into lazy DataFrame plans.
 
-Every step maps a relation and its kind to another, so properties and kinds are
-checked before anything runs, and Catalyst sees one plan for the whole query.
-Arguments of selectors become conditions inside the arrays of the nested table.
-A query runs over a whole corpus; rows carry doc_id and ord, their order in the
-document.
+A relation is an array of each document's nested row: selectors, conditions,
+parts and properties become higher-order functions over it, and only the last
+step makes rows of what is left.  So a query parses each document once and
+shuffles nothing.  Properties and kinds are checked before anything runs.  A
+query runs over a whole corpus; a document's rows come in its own order, and
+documents in any, unless the result is asked for in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from docloom.lang.syntax import COMPARISONS, Binary, Call, Filter, Index, Literal, Name, Node, Pipe, QueryError, Selector, Slice, Unary, parse
 from docloom.operators import structure
-from docloom.plans.corpus import Corpus
+from docloom.plans.corpus import INFO, Corpus
+from docloom.sources.structure import ELEMENTS
 
 #: Properties of each kind: column and type; a type in angle brackets is a kind.
 PROPERTIES = {
@@ -36,22 +39,55 @@ _TEXT = {"headings": "text", "sections": "text", "code": "content", "links": "te
 SELECTORS = ("headings", "section", "sections", "code", "links", "images", "tables", "lists", "metadata", "owner", "tags", "priority", "text", "length", "tree", "search")
 
 
+#: Gives a column of the row, or a field of the element, that a condition is on.
+Field = Callable[[str], Column]
+
+
+class _Lines:
+    """The lines of the document, and whether they were asked for."""
+
+    def __init__(self, column: Column):
+        self._column, self.used = column, False
+
+    @property
+    def column(self) -> Column:
+        self.used = True
+        return self._column
+
+
 @dataclass(frozen=True)
 class Relation:
-    """Rows (doc_id, ord, columns of the kind); values have one column, value, of the type named."""
+    """Of each document an array: elements of the kind, or values of the type named; items makes it, given the document's lines."""
 
     kind: str
-    df: DataFrame
+    corpus: Corpus
+    items: Callable[[_Lines], Column]
     type: str = ""
     must: bool = False  # in a query on one document, no rows are an error
 
-    def rows(self) -> DataFrame:
-        return self.df.orderBy("doc_id", "ord").drop("ord")
+    def array(self, finished: bool = False) -> Column:
+        def make(lines: _Lines) -> Column:
+            out = self.items(lines)
+            if finished and self.kind == "sections":
+                names = ELEMENTS["sections"].names
+                out = F.transform(out, lambda s: F.struct(*(s[c].alias(c) for c in names), structure.section_text(s, lines.column).alias("text")))
+            return out
 
+        trial = _Lines(F.split("source", "\n"))
+        plain = make(trial)
+        return structure.with_lines(lambda ls: make(_Lines(ls))) if trial.used else plain
 
-def _order(*columns: Column | str) -> Column:
-    a, b = [F.lit(c).cast("int") if isinstance(c, int) else F.col(c).cast("int") if isinstance(c, str) else c.cast("int") for c in columns]
-    return F.struct(a.alias("a"), b.alias("b"))
+    def numbered(self) -> DataFrame:
+        """(doc_id, ord, columns of the kind, or value)."""
+        if self.kind == "document":
+            return self.corpus.documents.withColumn("ord", F.lit(0))
+        rows = self.corpus.parsed.select("doc_id", F.posexplode(self.array(finished=True)).alias("ord", "e"))
+        return rows.select("doc_id", "ord", F.col("e").alias("value") if self.kind == "values" else F.col("e.*"))
+
+    def rows(self, order: bool = False) -> DataFrame:
+        """The rows; with order those of all documents in one order, which takes a sort of everything."""
+        rows = self.numbered()
+        return (rows.orderBy("doc_id", "ord") if order else rows).drop("ord")
 
 
 class Compiler:
@@ -59,7 +95,20 @@ class Compiler:
         self.corpus, self.variables = corpus, variables or {}
 
     def start(self) -> Relation:
-        return Relation("document", self.corpus.documents.withColumn("ord", _order(0, 0)))
+        return self._relation("document", lambda ls: F.array(F.struct(*(F.col(c) for c in (*INFO, "source")))))
+
+    def _relation(self, kind: str, items: Callable[[_Lines], Column], type: str = "", must: bool = False) -> Relation:  # noqa: A002
+        return Relation(kind, self.corpus, items, type, must)
+
+    def _field(self, now: Relation, element: Column, lines: _Lines) -> Field:
+        if now.kind == "values":
+            return lambda name: element
+        if now.kind == "sections":
+            return lambda name: structure.section_text(element, lines.column) if name == "text" else element[name]
+        return lambda name: element[name]
+
+    def _mapped(self, now: Relation, make: Callable[[Field], Column]) -> Callable[[_Lines], Column]:
+        return lambda ls: F.transform(now.items(ls), lambda e: make(self._field(now, e, ls)))
 
     # -- relations
 
@@ -85,18 +134,16 @@ class Compiler:
         """An expression of each row; a property that is itself an element gives elements."""
         if isinstance(node, Selector) and now.kind in PROPERTIES and node.name in PROPERTIES[now.kind] and not node.args:
             return self.property(node.name, now)
-        value, kind = self.expression(node, now)
-        return Relation("values", now.df.select("doc_id", "ord", value.alias("value")), kind)
+        _, kind = self.expression(node, now, F.col)
+        return self._relation("values", self._mapped(now, lambda at: self.expression(node, now, at)[0]), kind)
 
     def property(self, name: str, now: Relation) -> Relation:
         column, kind = PROPERTIES[now.kind][name]
         if kind == "<headings>":
-            line = F.col("start_line")
-            return Relation("headings", now.df.select("doc_id", "ord", "pos", "level", F.col("title").alias("text"), F.lit("").alias("id"), line.alias("line")))
+            return self._relation("headings", self._mapped(now, lambda at: F.struct(at("pos").alias("pos"), at("level").alias("level"), at("title").alias("text"), F.lit("").alias("id"), at("start_line").alias("line"))))
         if kind == "<sections>":
-            rows = structure.children(self.corpus, now.df)
-            return Relation("sections", rows.withColumn("ord", _order(0, "pos")))
-        return Relation("values", now.df.select("doc_id", "ord", F.col(column).alias("value")), kind)
+            return self._relation("sections", lambda ls: F.flatten(F.transform(now.items(ls), structure.children_of)))
+        return self._relation("values", self._mapped(now, lambda at: at(column)), kind)
 
     def constants(self, node: Selector, kind: type | tuple) -> list:
         """Arguments of the wanted type; others are left out."""
@@ -110,100 +157,107 @@ class Compiler:
                 values.append(a.value)
         return values
 
-    def picked(self, name: str, column: str, values: list, default: Column) -> Relation:
-        """Elements whose column is one of the values, in the order of the values; all of them if there are none."""
-        if not values:
-            return Relation(name, self._elements(name).withColumn("ord", default))
-        rows = self._elements(name, lambda e: e[column].isin(*values))
-        place = F.explode(F.filter(F.transform(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in enumerate(values))), lambda x: F.when(x["v"] == F.col(column), x["k"])), lambda k: k.isNotNull()))
-        return Relation(name, rows.withColumn("__k", place).withColumn("ord", _order("__k", "pos")).drop("__k"))
+    def picked(self, name: str, column: str, values: list) -> Relation:
+        """Elements whose column is one of the values, in the order of the values."""
+        array = self._elements(name)
+
+        def those(value) -> Column:  # a second parameter of the lambda would be the place of the element
+            return F.filter(array, lambda e: e[column] == value)
+
+        parts = [those(v) for v in values]
+        return self._relation(name, lambda ls: F.concat(*parts) if len(parts) > 1 else parts[0])
 
-    def _elements(self, kind: str, early=None) -> DataFrame:
-        return self.corpus.elements("code_blocks" if kind == "code" else kind, early)
+    def _elements(self, kind: str) -> Column:
+        name = "code_blocks" if kind == "code" else kind
+        if name not in self.corpus.want:
+            raise ValueError(f"{name} were not asked for when the corpus was read")
+        return F.coalesce(F.col(name), F.array().cast(ArrayType(ELEMENTS[name])))
 
     def select(self, node: Selector, now: Relation) -> Relation:
         name, args, c = node.name, node.args, self.corpus
         if not args and now.kind in PROPERTIES and name in PROPERTIES[now.kind] and (now.kind != "document" or name == "text"):
             return self.property(name, now)
         if name == "headings":
-            return self.picked("headings", "level", [v for v in self.constants(node, int) if 1 <= v <= 6], _order("level", "pos")) if not args or any(1 <= v <= 6 for v in self.constants(node, int)) else Relation("headings", self._elements("headings", lambda e: F.lit(False)).withColumn("ord", _order(0, "pos")))
-        if name == "section":
-            titles = self.constants(node, str)
-            if not titles:
+            levels = [v for v in self.constants(node, int) if 1 <= v <= 6]
+            array = self._elements("headings")
+            if args:
+                return self.picked("headings", "level", levels) if levels else self._relation("headings", lambda ls: F.filter(array, lambda e: F.lit(False)))
+            by = F.array_sort(F.transform(array, lambda h: F.struct(h["level"].alias("a"), h["pos"].alias("b"), h.alias("h"))))
+            return self._relation("headings", lambda ls: F.transform(by, lambda x: x["h"]))
+        if name in ("section", "sections"):
+            titles, array = self.constants(node, str), self._elements("sections")
+            if name == "section" and not titles:
                 raise QueryError("section takes a title")
-            return Relation("sections", c.sections(lambda s: s["indexed"] & (s["title"] == titles[0])).withColumn("ord", _order(0, "pos")), must=True)
-        if name == "sections":
-            return Relation("sections", c.sections(lambda s: s["indexed"]).withColumn("ord", _order(0, "pos")))
+            return self._relation("sections", lambda ls: F.filter(array, lambda s: s["indexed"] & (s["title"] == titles[0]) if name == "section" else s["indexed"]), must=name == "section")
         if name == "code":
             languages = self.constants(node, str)
+            array = self._elements("code")
             if now.kind == "sections":
-                rows = structure.section_code(c, now.df)
-                rows = rows.filter(F.col("language").isin(*languages)) if languages else rows
-                return Relation("code", rows.withColumn("ord", _order(0, "pos")))
-            return self.picked("code", "language", languages, _order(0, "pos"))
+
+                def blocks(ls: _Lines) -> Column:
+                    held = F.array_sort(F.array_distinct(F.flatten(F.transform(now.items(ls), structure.code_of))))
+                    return F.filter(held, lambda b: b["language"].isin(*languages)) if languages else held
+
+                return self._relation("code", blocks)
+            return self.picked("code", "language", languages) if languages else self._relation("code", lambda ls: array)
         if name in ("links", "images", "tables"):
-            return Relation(name, self._elements(name).withColumn("ord", _order(0, "pos")))
+            array = self._elements(name)
+            return self._relation(name, lambda ls: array)
         if name == "lists":
-            ordered = self.constants(node, bool)
-            rows = self._elements("lists", (lambda e: e["ordered"] == ordered[0]) if ordered else None)
-            return Relation("lists", rows.withColumn("ord", _order(0, "pos")))
+            ordered, array = self.constants(node, bool), self._elements("lists")
+            return self._relation("lists", lambda ls: F.filter(array, lambda e: e["ordered"] == ordered[0]) if ordered else array)
         if name in ("metadata", "owner", "priority", "tags"):
             value = F.col("metadata") if name == "metadata" else c.tags() if name == "tags" else c.metadata(name)
-            rows = c.parsed.select("doc_id", _order(0, 0).alias("ord"), value.alias("value"))
-            if name == "owner":
-                rows = rows.filter("value IS NOT NULL")
-            if name == "priority":
-                rows = rows.withColumn("value", F.coalesce("value", F.lit("")))
-            return Relation("values", rows, "array" if name == "tags" else "string", must=name == "owner")
+            array = F.array(F.coalesce(value, F.lit("")) if name == "priority" else value)
+            return self._relation("values", lambda ls: F.filter(array, lambda v: v.isNotNull()) if name == "owner" else array, "array" if name == "tags" else "string", must=name == "owner")
         if name == "text":
             if now.kind not in _TEXT:
                 raise QueryError(f"{now.kind} have no text")
-            return Relation("values", now.df.select("doc_id", "ord", F.col(_TEXT[now.kind]).alias("value")), "string")
+            return self._relation("values", self._mapped(now, lambda at: at(_TEXT[now.kind])), "string")
         if name == "length":
             return self.length(now)
         if name == "tree":
             mode = (self.constants(node, str) or [""])[0]
-            try:
-                rows = structure.tree(c, mode, now.df if now.kind == "sections" else None)
-            except ValueError as e:
-                raise QueryError(str(e)) from e
-            return Relation("tree", rows.withColumn("ord", _order(0, "seq")))
+            self._elements("sections"), None if mode else self._elements("code")
+            if mode not in structure.MODES:
+                raise QueryError(f"no such mode: {mode!r}")
+            return self._relation("tree", lambda ls: structure.outline(mode, ls.column if mode in ("preview", "full") else F.array(), now.items(ls) if now.kind == "sections" else None))
         if name == "search":
             terms = self.constants(node, str)
             if not terms:
                 raise QueryError("search takes a term")
-            return Relation("search", structure.search(c, terms[0]).withColumn("ord", _order(0, "pos")).drop("pos"))
+            self._elements("sections")
+            return self._relation("search", lambda ls: structure.found(terms[0], ls.column))
         known = PROPERTIES.get(now.kind, {})
         if any(name in p for p in PROPERTIES.values()):
             raise QueryError(f"{now.kind} have no {name}" + (f"; they have {', '.join(known)}" if known else ""))
         raise QueryError(f"unknown selector {name}")
 
     def filter(self, condition: Node, now: Relation) -> Relation:
-        return replace(now, df=now.df.filter(self.truth(*self.expression(condition, now))))
+        self.truth(*self.expression(condition, now, F.col))
+        return replace(now, items=lambda ls: F.filter(now.items(ls), lambda e: self.truth(*self.expression(condition, now, self._field(now, e, ls)))))
 
     def length(self, now: Relation) -> Relation:
         """Of a collection, its rows in each document; of strings, their bytes; of arrays, their items."""
         if now.kind == "document" or (now.kind == "values" and now.type in ("string", "array")):
-            value, kind = self.expression(Call("length"), now)
-            return Relation("values", now.df.select("doc_id", "ord", value.alias("value")), kind)
-        counts = now.df.groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("n"))
-        ids = self.corpus.parsed.select("doc_id")
-        rows = ids.join(counts, ids["doc_id"].eqNullSafe(counts["__d"]), "left")
-        return Relation("values", rows.select("doc_id", _order(0, 0).alias("ord"), F.coalesce("n", F.lit(0)).alias("value")), "int")
+            return self.map(Call("length"), now)
+        return self._relation("values", lambda ls: F.array(F.size(now.items(ls))), "int")
 
     def part(self, node: Index | Slice, now: Relation) -> Relation:
         of = self.run(node.of, now)
         if of.kind == "values" and of.type in ("array", "string"):
-            value, kind = self._part(node, F.col("value"), of.type)
-            return replace(of, df=of.df.withColumn("value", value), type=kind)
-        k = F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) - 1
-        rows = of.df.withColumn("__k", k)
+            _, kind = self._part(node, F.col("value"), of.type)
+            return self._relation("values", self._mapped(of, lambda at: self._part(node, at("value"), of.type)[0]), kind)
         if isinstance(node, Index):
             at = self._whole(node.index)
-            return replace(of, df=rows.filter(F.col("__k") == at).drop("__k"), must=True)
+            return replace(of, items=lambda ls: F.slice(of.items(ls), max(0, at) + 1, 1 if at >= 0 else 0), must=True)
         start, end = (None if x is None else self._whole(x) for x in (node.start, node.end))
-        keep = F.col("__k") >= max(0, start or 0)
-        return replace(of, df=rows.filter(keep if end is None else keep & (F.col("__k") < end)).drop("__k"))
+        return self.between(of, start or 0, end)
+
+    def between(self, now: Relation, start: int, end: int | None) -> Relation:
+        """The rows of each document from start to before end."""
+        start = max(0, start)
+        return replace(now, items=lambda ls: F.slice(now.items(ls), start + 1, 2**31 - 2 - start if end is None else max(0, end - start)))
 
     def _whole(self, node: Node | None) -> int:
         if isinstance(node, Name) and node.name in self.variables:
@@ -227,53 +281,53 @@ class Compiler:
 
     # -- expressions of one row: column and type
 
-    def expression(self, node: Node, now: Relation) -> tuple[Column, str]:
+    def expression(self, node: Node, now: Relation, at: Field) -> tuple[Column, str]:
         if isinstance(node, Literal):
             v = node.value
             return F.lit(v), "bool" if isinstance(v, bool) else "string" if isinstance(v, str) else "literal" if isinstance(v, int) else "float"
         if isinstance(node, Name):
             if node.name in self.variables:
-                return self.expression(Literal(self.variables[node.name]), now)
+                return self.expression(Literal(self.variables[node.name]), now, at)
             if node.name in ("true", "false"):
                 return F.lit(node.name == "true"), "bool"
-            return self._property(node.name, now)
+            return self._property(node.name, now, at)
         if isinstance(node, Selector) and not node.args:
             if node.name == "length" and not (now.kind in PROPERTIES and "length" in PROPERTIES[now.kind]):
-                return self.expression(Call("length"), now)
-            return self._property(node.name, now)
+                return self.expression(Call("length"), now, at)
+            return self._property(node.name, now, at)
         if isinstance(node, Call):
-            return self._call(node, now)
+            return self._call(node, now, at)
         if isinstance(node, Unary):
-            value, kind = self.expression(node.operand, now)
+            value, kind = self.expression(node.operand, now, at)
             if node.op == "!":
                 return ~self.truth(value, kind), "bool"
             if kind not in ("int", "literal", "float"):
                 raise QueryError("only numbers can be negated")
             return -value, kind
         if isinstance(node, Binary):
-            a, b = self.expression(node.left, now), self.expression(node.right, now)
+            a, b = self.expression(node.left, now, at), self.expression(node.right, now, at)
             if node.op in ("and", "or"):
                 x, y = self.truth(*a), self.truth(*b)
                 return (x & y if node.op == "and" else x | y), "bool"
             return self._compare(node.op, a, b), "bool"
         if isinstance(node, (Index, Slice)):
-            value, kind = self.expression(node.of, now)
+            value, kind = self.expression(node.of, now, at)
             if kind not in ("array", "string"):
                 raise QueryError(f"{kind or 'this'} has no parts")
             return self._part(node, value, kind)
         raise QueryError(f"{type(node).__name__} can't stand in an expression")
 
-    def _property(self, name: str, now: Relation) -> tuple[Column, str]:
+    def _property(self, name: str, now: Relation, at: Field) -> tuple[Column, str]:
         if now.kind == "values" and name in ("text", "value"):
-            return F.col("value"), now.type
+            return at("value"), now.type
         column, kind = PROPERTIES.get(now.kind, {}).get(name, (None, ""))
         if column is None:
             raise QueryError(f"{now.kind} have no {name}")
         if kind == "<sections>":
             raise QueryError("children can't stand in a condition")
-        return F.col(column), "string" if kind.startswith("<") else kind
+        return at(column), "string" if kind.startswith("<") else kind
 
-    def _call(self, node: Call, now: Relation) -> tuple[Column, str]:
+    def _call(self, node: Call, now: Relation, at: Field) -> tuple[Column, str]:
         name, args = node.name, node.args
         if name in ("contains", "startswith", "endswith"):
             # on the row's text, or on a first argument of its own
@@ -281,17 +335,17 @@ class Compiler:
                 raise QueryError(f"{name} takes one argument, or a text and a part of it")
             if len(args) == 1 and now.kind not in _TEXT:
                 raise QueryError(f"{now.kind} have no text")
-            value, kind = self.expression(args[0], now) if len(args) == 2 else (F.col(_TEXT[now.kind]), "string")
-            part, of = self.expression(args[-1], now)
+            value, kind = self.expression(args[0], now, at) if len(args) == 2 else (at(_TEXT[now.kind]), "string")
+            part, of = self.expression(args[-1], now, at)
             text = value.cast("string") if kind != "array" else F.array_join(value, " ")
             return getattr(F, name)(text, part.cast("string") if of != "string" else part), "bool"
         if name == "length":
             if len(args) > 1:
                 raise QueryError("length takes one argument at most")
-            value, kind = self.expression(args[0], now) if args else (F.col(_TEXT[now.kind]), now.type if now.kind == "values" else "string") if now.kind in _TEXT else (F.lit(0), "int")
+            value, kind = self.expression(args[0], now, at) if args else (at(_TEXT[now.kind]), now.type if now.kind == "values" else "string") if now.kind in _TEXT else (F.lit(0), "int")
             return (F.octet_length(value) if kind == "string" else F.size(value) if kind == "array" else F.lit(0)), "int"
         if name in PROPERTIES.get(now.kind, {}) and not args:
-            return self._property(name, now)
+            return self._property(name, now, at)
         raise QueryError(f"unknown function {name}")
 
     @staticmethod
@@ -326,9 +380,9 @@ def compile(corpus: Corpus, query: str | Node, variables: dict[str, object] | No
     return Compiler(corpus, variables).run(parse(query) if isinstance(query, str) else query)
 
 
-def query(corpus: Corpus, text: str, variables: dict[str, object] | None = None) -> DataFrame:
-    """Rows of a query over a corpus, in the order of documents and of their parts."""
-    return compile(corpus, text, variables).rows()
+def query(corpus: Corpus, text: str, variables: dict[str, object] | None = None, order: bool = False) -> DataFrame:
+    """Rows of a query over a corpus; with order in that of documents and of their parts."""
+    return compile(corpus, text, variables).rows(order)
 
 
 def query_one(corpus: Corpus, text: str, variables: dict[str, object] | None = None) -> DataFrame:
@@ -342,6 +396,6 @@ def query_one(corpus: Corpus, text: str, variables: dict[str, object] | None = N
     now = compiler.run(node)
     for step in [None, *reversed(steps)]:
         now = compiler.run(step, now) if step is not None else now
-        if now.must and now.df.isEmpty():
+        if now.must and now.numbered().isEmpty():
             raise QueryError(f"nothing found by {node if step is None else step}")
-    return now.rows()
+    return now.rows(order=True)

@@ -76,10 +76,12 @@ class Corpus:
         if "sections" not in self.want:
             raise ValueError("sections were not asked for when the corpus was read")
         array = F.col("sections") if early is None else F.filter("sections", early)
-        rows = self.parsed.select("doc_id", "source", F.explode(array).alias("e")).select("doc_id", "source", *(F.col(f"e.{c}") for c in ELEMENTS["sections"].names))
+        names = ELEMENTS["sections"].names
         if text:
-            rows = rows.withColumn("text", X.line_range(F.col("source"), F.col("start_line"), F.col("end_line")))
-        return rows.drop("source")
+            from docloom.operators.structure import section_text, with_lines
+
+            array = with_lines(lambda ls: F.transform(array, lambda s: F.struct(*(s[c].alias(c) for c in names), section_text(s, ls).alias("text"))))
+        return self.parsed.select("doc_id", F.explode(array).alias("e")).select("doc_id", "e.*")
 
     def metadata(self, field: str) -> Column:
         """A string of the front matter, null if it is missing or no string."""
