@@ -46,6 +46,21 @@ def pages(spark: SparkSession, sf_dir: str, *want: str, **options) -> Corpus:
     return parse_documents(rows, format="html", want=list(want) or None, **options)
 
 
+def region_html(spark: SparkSession, sf_dir: str, *want: str, **options) -> Corpus:
+    """A page for each region: a bar and a footer with links around a main part in which each nation has a heading, a link, an image, code, a row of a table and an item of a list."""
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    language = F.element_at(F.array(F.lit("language-python"), F.lit("lang-javascript"), F.lit("highlight-rust")), F.col("n_nationkey") % 3 + 1)
+    body = F.concat(F.lit("<h2>"), name, F.lit('</h2><p><a href="/n/'), key, F.lit('">'), name, F.lit('</a><img src="flags/'), key, F.lit('.png" alt="'), name, F.lit('" title="flag"></p><pre><code class="'), language, F.lit('">f('), key, F.lit(")</code></pre>"))
+    row = F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), key, F.lit("</td></tr>"))
+    item = F.concat(F.lit("<li>"), name, F.lit("</li>"))
+    nation = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", body.alias("b"), row.alias("r"), item.alias("i")))).alias("n"))
+    part = lambda f: F.array_join(F.transform("n", lambda x: x[f]), "")
+    rows = table(spark, sf_dir, "region").join(nation, F.col("r_regionkey") == F.col("n_regionkey"))
+    html = F.concat(F.lit('<html><body><nav><a href="/">home</a></nav><h1>Outside</h1><div class="Page-Content"><h1>'), "r_name", F.lit("</h1>"), part("b"), F.lit("<table><thead><tr><th>nation</th><th>key</th></tr></thead><tbody>"), part("r"), F.lit("</tbody></table><ol>"), part("i"), F.lit('</ol></div><footer><a href="/end">end</a></footer></body></html>'))
+    doc = F.col("r_regionkey").cast("string")
+    return parse_documents(rows.select(doc.alias("doc_id"), F.concat(doc, F.lit(".html")).alias("path"), html.alias("content")), format="html", want=list(want) or None, **options)
+
+
 def order_json(spark: SparkSession, sf_dir: str) -> Corpus:
     """An object for each order of the first region's customers' nation 0, nested two deep."""
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))

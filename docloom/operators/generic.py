@@ -1,14 +1,15 @@
 """Operators over any DataFrame: filter, map, flat map, reduce, take, skip, unique, group, sort, find, any, all.
 
 Order is explicit: what depends on it takes the columns that order the rows.
-Conditions and transforms are column expressions; a Python function of a pandas
-Series becomes an Arrow UDF where there is no expression for it.
+Conditions and transforms are column expressions; where there is none, `python`
+makes one of a Python function over whole columns, by Arrow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,15 @@ def _c(x: Expression) -> Column:
     return F.expr(x) if isinstance(x, str) else x
 
 
+def python(function: Callable[..., pd.Series], returns: str, *columns: Expression) -> Column:
+    """A Python function of pandas Series, one for each of the columns, as an expression of the type named."""
+
+    def run(*series: pd.Series) -> pd.Series:
+        return function(*series)
+
+    return F.pandas_udf(run, returns)(*map_(columns))
+
+
 def filter(df: DataFrame, condition: Expression) -> DataFrame:  # noqa: A001
     return df.filter(condition)
 
