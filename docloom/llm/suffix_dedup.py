@@ -3,9 +3,12 @@
 A passage of LENGTH words is bound to hold one of the seeds that winnowing
 takes from its text (the least hash of every LENGTH - SEED + 1 neighbouring
 runs of SEED words), and both of its documents take the same one.  So only
-seeds that occur in more than one place are followed up: the words around each
-of their occurrences, far enough for every passage that the seed stands for,
-are brought together by seed.
+seeds that occur in more than one document are followed up: the words around
+each of their occurrences, far enough for every passage that the seed stands
+for, are brought together by seed and read in the order of the seeds, one
+collection at a time.  A seed of more than HOT places isn't brought together:
+the hashes of the passages around it are counted by the document instead,
+summed on the scan's side, and those of several documents are joined back.
 
 There the suffix array of the strings is built by columns.  Each round inserts
 one more symbol of every string, from the right: where the longer suffix
@@ -32,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialise, shared_dir
-from docloom.llm.textvec import Words, sliding_min, text_blocks
+from docloom.llm.common import among, bitmap, checked_broadcast, discard, materialise, shared_dir, tidy
+from docloom.llm.textvec import Words, gram_hashes, sliding_min, text_parts
 
 LENGTH = 50
 SEED = 16
 #: Symbols that are collected, in whole seeds, before a suffix array is built.
 COLLECTION = 400_000
+#: Places of a seed from which its passages are found by their hashes.
+HOT = 50_000
 IN_MEMORY = 1 << 25
-_MOST_BITS = 29
 
 
 class Columns:
@@ -168,54 +172,59 @@ def _winnowed(words: Words, k: int, window: int) -> tuple[np.ndarray, np.ndarray
     return g[at], place[at]
 
 
-def _seed_counts(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """(seed, n): seeds of the corpus and how many places they have, of which the scan knows those of its own part."""
-    schema = pa.schema([("seed", pa.int64()), ("n", pa.int64())])
+class _Spread:
+    """Hashes with the number of their places and the least and greatest of their documents, summed from time to time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-            g, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], schema=schema)
+    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, g: np.ndarray, doc: np.ndarray) -> None:
+        self.held.append((g, doc))
+        self.size += len(g)
+
+    def flush(self) -> pa.RecordBatch:
+        g, doc = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.size = [], 0
+        by = np.argsort(g, kind="stable")
+        g, doc = g[by], doc[by]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
+        lo, hi = (f.reduceat(doc, first) if len(first) else doc for f in (np.minimum, np.maximum))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (g[first].view(np.int64), np.diff(np.append(first, len(g))), lo, hi)], schema=self.schema)
+
+
+def _spread(docs: DataFrame, hashes) -> DataFrame:
+    """(hash, n, lo, hi): how many places each hash has and its least and greatest document; hashes gives (hash, place) of a block's words."""
 
-        held, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Spread()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in text_blocks(texts):
-                held.append(_winnowed(Words(texts[part]), k, window)[0])
-                size += len(held[-1])
-                if size > 2_000_000:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-
-    return docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-
-
-def _bitmap(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for the upper bits of each seed; of one size from some number of seeds on, when it only lets more of the others through."""
-    count = seeds.count()
-    bits = int(min(_MOST_BITS, max(16, np.ceil(np.log2(16 * count + 1)))))
-    filled = seeds.selectExpr(f"shiftrightunsigned(seed, {64 - bits + 3}) AS byte", f"shiftleft(1, CAST(shiftrightunsigned(seed, {64 - bits}) & 7 AS INT)) AS bit").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    table = filled.toArrow()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    out[table.column("byte").to_numpy()] = table.column("bits").to_numpy().astype(np.uint8)
-    return out, bits
+            ids = batch.column(0).to_numpy()
+            for part, texts in text_parts(batch, 1):
+                words = Words(texts)
+                g, place = hashes(words)
+                seen.add(g, ids[words.doc[place] + part.start])
+                if seen.size > 1_000_000:
+                    yield seen.flush()
+        if seen.held:
+            yield seen.flush()
+
+    out = docs.select("doc_id", "text").mapInArrow(tidy(run), "hash long, n long, lo long, hi long")
+    return out.groupBy("hash").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
 
 
 def _strings(docs: DataFrame, k: int, length: int, shared) -> DataFrame:
-    """(seed, doc_id, place, words): the words around each place of a repeated seed, as 32 bits of their hashes."""
+    """(seed, doc_id, place, words): the words around each place of a repeated seed that isn't hot, as 32 bits of their hashes."""
     schema = pa.schema([("seed", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, bits = shared.value
+        again, hot = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in text_blocks(texts):
-                words = Words(texts[part])
+            for part, texts in text_parts(batch, 1):
+                words = Words(texts)
                 g, place = _winnowed(words, k, length - k + 1)
-                top = g >> np.uint64(64 - bits)
-                keep = (bitmap[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1 != 0
+                keep = among(*again, g) & ~among(*hot, g)
                 g, place = g[keep], place[keep]
                 doc = words.doc[place]
                 lo = np.maximum(place - (length - k), words.first[doc])
@@ -224,7 +233,43 @@ def _strings(docs: DataFrame, k: int, length: int, shared) -> DataFrame:
                 data = [short[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column(0).take(pa.array(doc + part.start)), pa.array((lo - words.first[doc]).astype(np.int32)), pa.array(data, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, place int, words binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "seed long, doc_id long, place int, words binary")
+
+
+def _around_hot(words: Words, k: int, length: int, hot: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the passages of `length` words that hold a hot seed."""
+    g, place = _winnowed(words, k, length - k + 1)
+    place = place[among(*hot, g)]
+    doc = words.doc[place]
+    lo, hi = np.maximum(place - (length - k), words.first[doc]), np.minimum(place, words.first[doc + 1] - length) + 1
+    change = np.zeros(len(words.hash) + 1, np.int64)
+    good = hi > lo
+    np.add.at(change, lo[good], 1)
+    np.add.at(change, hi[good], -1)
+    start = np.flatnonzero(np.cumsum(change[:-1]))
+    return gram_hashes(words.hash, length)[start] if len(start) else np.zeros(0, np.uint64), start
+
+
+def _hot_passages(docs: DataFrame, k: int, length: int, shared) -> DataFrame:
+    """(doc_id, begin, end) of the passages around hot seeds that several documents have."""
+
+    def around(words: Words) -> tuple[np.ndarray, np.ndarray]:
+        return _around_hot(words, k, length, shared.value[1])
+
+    several = materialise(_spread(docs, around).select(F.col("hash").alias("known")), "passages")
+    schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_parts(batch, 1):
+                words = Words(texts)
+                g, start = around(words)
+                doc = words.doc[start] if len(start) else start
+                begin = (start - words.first[doc]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column(0).take(pa.array(doc + part.start)), pa.array(begin), pa.array(begin + np.int32(length))], schema=schema)
+
+    found = docs.select("doc_id", "text").mapInArrow(tidy(run), "hash long, doc_id long, begin int, end int")
+    return found.join(checked_broadcast(several, 16), F.col("hash") == F.col("known"), "left_semi").select("doc_id", "begin", "end")
 
 
 def _passages(strings: list[bytes], docs: list[np.ndarray], length: int, folder: str | None) -> list[np.ndarray]:
@@ -246,6 +291,27 @@ def _passages(strings: list[bytes], docs: list[np.ndarray], length: int, folder:
     return [np.sort(np.array(x, np.int64)) for x in out]
 
 
+def _by_seed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """(seed, documents, places, words) of each seed, from batches in the order of seeds."""
+    last, ids, at, words = None, [], [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, own, place = (batch.column(i).to_numpy() for i in range(3))
+        text = batch.column(3).to_pylist()
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
+        for lo, hi in zip(new, [*new[1:], len(key)]):
+            if key[lo] != last:
+                if words:
+                    yield last, np.concatenate(ids), np.concatenate(at), words
+                last, ids, at, words = int(key[lo]), [], [], []
+            ids.append(own[lo:hi])
+            at.append(place[lo:hi])
+            words += text[lo:hi]
+    if words:
+        yield last, np.concatenate(ids), np.concatenate(at), words
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, begin, end): maximal runs of words each of which is in a passage of `length` words that another document has too.
 
@@ -259,9 +325,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
         raise ValueError("a seed must have between 1 and length words")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     spark = docs.sparkSession
-    counted = _seed_counts(docs, seed, length - seed + 1)
-    again = materialise(counted.filter("n > 1").select("seed"), "seeds")
-    shared = spark.sparkContext.broadcast(_bitmap(again))
+    counted = materialise(_spread(docs, lambda words: _winnowed(words, seed, length - seed + 1)).select("hash", "n"), "seeds")
+    hot = counted.filter(F.col("n") > HOT)
+    any_hot = not hot.isEmpty()
+    shared = spark.sparkContext.broadcast((bitmap(counted), bitmap(hot)))
+    discard(counted)
     folder = shared_dir(spark)
     local = folder.removeprefix("file://") if folder.startswith(("file://", "/")) else None
     schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
@@ -282,23 +350,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, (np.int64, np.int32, np.int32))], schema=schema)
 
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        held.clear()
-        key, ids, at = (table.column(i).to_numpy() for i in range(3))
-        words = table.column(3).combine_chunks()
-        by = np.argsort(key, kind="stable")
-        new = np.flatnonzero(np.concatenate(([True], np.diff(key[by]) != 0)))
-        rows, total = [], 0
-        for lo, hi in zip(new.tolist(), np.append(new[1:], len(by)).tolist()):
-            some = by[lo:hi]
-            if len(some) < 2 or ids[some].min() == ids[some].max():
+        rows: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        total = 0
+        for key, ids, at, words in _by_seed(batches):
+            if len(ids) < 2 or ids.min() == ids.max():
                 continue
             # places with the very same words around them are one string
             same: dict[bytes, list[int]] = {}
-            for i, w in zip(some.tolist(), words.take(pa.array(some)).to_pylist()):
+            for i, w in enumerate(words):
                 same.setdefault(w, []).append(i)
             for w, members in same.items():
                 rows.append((w, ids[members], at[members]))
@@ -308,7 +367,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                 rows, total = [], 0
         yield from flush(rows)
 
-    found = _strings(docs, seed, length, shared).repartition("seed").mapInArrow(run, "doc_id long, begin int, end int").distinct()
+    found = _strings(docs, seed, length, shared).repartition("seed").sortWithinPartitions("seed").mapInArrow(tidy(run), "doc_id long, begin int, end int")
+    if any_hot:
+        found = found.union(_hot_passages(docs, seed, length, shared))
+    found = found.distinct()
     order = W.partitionBy("doc_id").orderBy("begin", "end")
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     step = F.when(before.isNull() | (F.col("begin") > before), 1).otherwise(0)
