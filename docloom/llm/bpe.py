@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.llm.textvec import _BASE, code_points, mix, powers, text_blocks
+from docloom.llm.common import tidy
+from docloom.llm.textvec import _BASE, code_points, mix, powers, text_parts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Pieces that a worker remembers; beyond that it forgets all and starts again.
+#: Pieces that a worker remembers; beyond that it forgets them and the pairs it tested, and starts again.
 _REMEMBERED = 400_000
 
 
@@ -218,6 +219,7 @@ class Codec:
         if todo:
             if len(self.known) > _REMEMBERED:
                 self.known.clear()
+                self.pair, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
                 todo = distinct
             self.learn(list(dict.fromkeys(todo)))
         coded = [self.known[p] for p in distinct]
@@ -270,9 +272,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in text_blocks(texts):
-                some = texts[part]
+            for part, texts in text_parts(batch, 1):
+                some = [t or "" for t in texts]
                 ids, count = c.encode_block(some)
                 data = c.decode_bytes(ids)
                 at = np.concatenate(([0], np.cumsum(count)))
@@ -281,7 +282,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(some)).cast(pa.int64()), pa.array(count), lists, pa.array(same)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -295,4 +296,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             texts = [c.decode_bytes(np.asarray(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, checked_broadcast, keep_ids, materialise, small_enough
-from docloom.llm.textvec import code_points, text_blocks
+from docloom.llm.common import BROADCAST_BYTES, checked_broadcast, keep_ids, materialise, small_enough, tidy
+from docloom.llm.textvec import code_points, text_parts
 
 N = 5
 #: Share of held-out trusted documents, of one language and length, that stays under the threshold.
@@ -96,9 +96,9 @@ def gram_counts(docs: DataFrame, n: int) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in text_blocks(texts):
-                some, own = texts[part], langs[part]
+            langs = batch.column(0).to_pylist()
+            for part, some in text_parts(batch, 1):
+                own = langs[part]
                 arr, start = _laid_out(some, n)
                 lang = np.repeat(np.array([lang_number(x) for x in own], np.uint64), np.diff(start))
                 h = _hashes(arr, lang, n)
@@ -117,7 +117,7 @@ def gram_counts(docs: DataFrame, n: int) -> DataFrame:
                     held, size = [], 0
         yield from flush(held)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return docs.select("lang", "text").mapInArrow(tidy(run), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def _gram_hashes(model: DataFrame, n: int) -> DataFrame:
                     key[at] = h
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2).cast(pa.float32()), batch.column(3).cast(pa.float32()), pa.array(size == 0)], schema=schema)
 
-    return model.select("lang", "gram", "logp", "backoff").mapInArrow(run, "key long, logp float, backoff float, empty boolean")
+    return model.select("lang", "gram", "logp", "backoff").mapInArrow(tidy(run), "key long, logp float, backoff float, empty boolean")
 
 
 class Table:
@@ -294,10 +294,10 @@ class Table:
         return h
 
 
-def _score_blocks(shared, langs: list, texts: list) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def _score_blocks(shared, langs: list, batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Of each block: where it is, perplexities (nan: none) and lengths."""
-    for part in text_blocks(texts):
-        some = [t or "" for t in texts[part]]
+    for part, texts in text_parts(batch, column):
+        some = [t or "" for t in texts]
         size = np.fromiter((len(t) for t in some), np.int64, len(some))
         yield part, np.where(size > 0, np.exp(-shared.value.scores(some, langs[part]) / (size + 1)), np.nan), size
 
@@ -311,11 +311,11 @@ def _scan(docs: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for part, value, size in _score_blocks(shared, langs, texts):
+            langs = batch.column(1).to_pylist()
+            for part, value, size in _score_blocks(shared, langs, batch, 2):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(size)).cast(pa.int64()), pa.array(langs[part], pa.string()), pa.array(value, from_pandas=True), pa.array(band(size))], schema=schema)
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, perplexity double, band long")
+    return docs.select("doc_id", "lang", "text").mapInArrow(tidy(run), "doc_id long, lang string, perplexity double, band long")
 
 
 def _joined(docs: DataFrame, model: DataFrame, n: int) -> DataFrame:
@@ -342,7 +342,7 @@ def _joined_rows(keyed: DataFrame, model: DataFrame, n: int) -> DataFrame:
                 rows += [(row, ident, lang, b, len(text), g, k) for g, k in Counter(laid[i : i + n] for i in range(len(text) + 1)).items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, schema.types)], schema=schema)
 
-    out = keyed.mapInArrow(run, "row string, doc_id long, lang string, band long, chars long, gram string, times long")
+    out = keyed.mapInArrow(tidy(run), "row string, doc_id long, lang string, band long, chars long, gram string, times long")
     out = out.withColumn("weight", F.lit(0.0)).withColumn("found", F.lit(None).cast("double"))
     for k in range(n, -1, -1):
         side = model.filter("logp IS NOT NULL").select(F.col("lang").alias("l2"), F.col("gram").alias("g2"), F.col("logp").alias("lp"))
@@ -415,14 +415,14 @@ class Classifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                langs, texts = batch.column(at_lang).to_pylist(), batch.column(at_text).to_pylist()
-                good = np.ones(len(texts), bool)
-                for part, value, size in _score_blocks(shared, langs, texts):
+                langs = batch.column(at_lang).to_pylist()
+                good = np.ones(len(langs), bool)
+                for part, value, size in _score_blocks(shared, langs, batch, at_text):
                     most = np.array([limits.get((x, int(b)), np.inf) for x, b in zip(langs[part], band(size))])
                     good[part] = ~(value > most)
                 yield batch.filter(pa.array(good))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **kwargs) -> Classifier:
