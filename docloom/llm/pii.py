@@ -18,6 +18,7 @@ among those that were accepted.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialise
-from docloom.llm.textvec import code_points, text_blocks
+from docloom.llm.common import materialise, tidy
+from docloom.llm.textvec import code_points, text_blocks, text_parts
 
 THRESHOLD = 0.5
-KINDS = ("email", "phone", "card", "ip", "key", "secret", "number")
+KINDS = ("email", "phone", "card", "ip", "key", "secret", "number", "iban", "national", "address", "name")
 #: Characters around a mark that are looked at beyond the word it stands in.
 _AROUND = 48
 _MARKS = np.zeros(0x110000, bool)
@@ -40,8 +41,13 @@ _SPACE[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029]] = True
 
 _FORMS = (
     ("secret", re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([^\s\"',;]{4,})"), 1),
-    ("email", re.compile(r"[^\s@<>()\[\]\"',;:|]+@[^\s@<>()\[\]\"',;:|]*[^\s@<>()\[\]\"',;:|.!?]"), 0),
-    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), 0),
+    # only from where a word begins: from each of its letters, a long one would be searched for an @ again and again
+    ("email", re.compile(r"(?<![^\s@<>()\[\]\"',;:|])[^\s@<>()\[\]\"',;:|]+@[^\s@<>()\[\]\"',;:|]*[^\s@<>()\[\]\"',;:|.!?]"), 0),
+    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)|(?<![\w:.])(?=[0-9A-Fa-f:]{0,36}[0-9A-Fa-f]{3})(?:[0-9A-Fa-f]{1,4}:){1,7}(?::[0-9A-Fa-f]{1,4}){0,6}(?:[0-9A-Fa-f]{1,4}|:)(?![\w:.])"), 0),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?!\w)"), 0),
+    ("national", re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d{2} ?\d{3} ?\d{3} ?\d{2})(?![\w-])"), 0),
+    ("address", re.compile(r"(?<![\w.,-])\d{1,5}[A-Za-z]?,? (?:(?:rue|avenue|av\.|boulevard|bd|place|chemin|calle|avenida|plaza|paseo)(?: (?:de|du|des|la|las|los|del|l['’])){0,2}[ ]?[^\W\d_][\w'’-]{1,30}(?: [A-ZÀ-Ý][\w'’-]{1,30}){0,2}|[A-Z][\w'-]{1,30}(?: [A-Z][\w'-]{1,30}){0,2} (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Way)\b\.?)|(?<!\w)(?:[A-ZÄÖÜ][\wäöüß-]{1,30}(?:stra(?:ße|sse)|str\.|weg|platz|allee|gasse)|(?:Calle|Avenida|Plaza|Paseo)(?: (?:de|la|las|los|del)){0,2} [A-ZÀ-Ý]\w{1,30},?) \d{1,4}[a-z]?(?!\w)"), 0),
+    ("name", re.compile(r"(?<!\w)(?:(?:full|first|last|user|sur)?[ _-]?name|nombre|nom|Name)[ \t]{0,3}[:=][ \t]{0,3}([A-ZÀ-Ý][\w'’-]{1,30}(?: [A-ZÀ-Ý][\w'’-]{1,30}){1,3})"), 1),
     # international, in groups of any length; groups of two; an area code and a long group; groups of three and four
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]\d{2,8}){1,5}(?!\w|[.-]\d)|(?<![\w+.-])\d{2}(?:[ .-]\d{2}){3,4}(?![\w]|[.-]\d)|(?<![\w+.-])\(?\d{2,5}\)?[ /-]\d{5,8}(?!\w)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)"), 0),
     ("card", re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"), 0),
@@ -51,7 +57,11 @@ _FORMS = (
 _STRICT = {
     "secret": re.compile(r"[\x21-\x7e]{6,}$"),
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"),
-    "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}$"),
+    "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}$|(?=[^.]*$)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|(?=[^.]*::)(?!.*::.*::)[0-9A-Fa-f:]{3,39}$"),
+    "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"),
+    "national": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]$|[\dXYZ]-?\d{7}-?[A-Z]$|[12][\d ]+$"),
+    "address": re.compile(r".{6,}$"),
+    "name": re.compile(r"[^\W\d_][^\d_]*$"),
     "phone": re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}$|\(\d{3}\) ?\d{3}-\d{4}$|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]\d{2,8}){1,5}$|0\d(?:[ .-]\d{2}){4}$|\(?0\d{1,4}\)?[ /-]\d{5,8}$"),
     "card": re.compile(r"\d{13,19}$|\d{4}(?:[ -]\d{4}){3}$"),
     "key": re.compile(r"(?:[A-Z]{2,6}[A-Z0-9]{12,}|[a-z]{2,4}[_-][A-Za-z0-9_-]{16,}|[0-9a-f]{24,})$"),
@@ -62,6 +72,9 @@ TOP_LEVEL = frozenset("com org net edu gov mil int info biz io co dev app de fr
 COUNTRY_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 354 358 420 421".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "6011", "65", "35", "36", "38", "62")
 KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "xox", "sk-", "sk_", "pk_", "glpat-")
+IBAN_COUNTRIES = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split())
+#: Words after "name:" that are no part of a person's.
+TITLES = frozenset("The A An This Of And File Table Class Package Host Domain Server Your".split())
 NOT_SECRETS = frozenset("your changeme example none null true false required optional string hidden".split())
 _CUES = {
     "email": re.compile(r"(?i)e-?mail|mailto|contact|write|from|address"),
@@ -71,6 +84,10 @@ _CUES = {
     "key": re.compile(r"(?i)key|token|secret|aws|access|auth|credential"),
     "secret": re.compile(r"(?i)pass|pwd|secret|token|key|auth"),
     "number": re.compile(r"(?!)"),
+    "iban": re.compile(r"(?i)iban|account|bank|konto|compte|cuenta|transfer"),
+    "national": re.compile(r"(?i)ssn|social|security|insurance|national|\bid\b|dni|nie|nino|insee|tax"),
+    "address": re.compile(r"(?i)address|adresse|direcci|live|street|ship|deliver|home|wohn"),
+    "name": re.compile(r"(?i)name|nom"),
 }
 _AGAINST = re.compile(r"(?i)(?:version|licen[sc]e|by(?:-\w+)*|v\.?|release|section|chapter|page|vol\.?|no\.?|figure|table|isbn|rfc|since|year|isn't|§|#|[$€£])\W{0,3}$")
 
@@ -89,7 +106,13 @@ def _checks(kind: str, span: str) -> int:
     if kind == "card":
         return 1 if luhn(digits) else -1
     if kind == "ip":
-        return 1 if all(int(x) < 256 for x in span.split(".")) else -1
+        return (1 if valid_v6(span) else -1) if ":" in span else 1 if all(int(x) < 256 for x in span.split(".")) else -1
+    if kind == "iban":
+        return 1 if mod_97(span) else -1
+    if kind == "national":
+        return national(span)
+    if kind in ("address", "name"):
+        return 1 if sum(w[:1].isupper() for w in span.split()) >= 1 + (kind == "name") else -1
     if kind == "phone":
         return 1 if 8 <= len(digits) <= 15 and not _DOTTED.match(span) else -1
     if kind == "email":
@@ -100,6 +123,27 @@ def _checks(kind: str, span: str) -> int:
     return -1
 
 
+def valid_v6(span: str) -> bool:
+    parts = span.split(":")
+    return span.count("::") <= 1 and ":::" not in span and all(len(p) <= 4 for p in parts) and (len(parts) == 8 if "::" not in span else len(parts) <= 8)
+
+
+def mod_97(span: str) -> bool:
+    """The check digits of an account number."""
+    s = re.sub(r"[ -]", "", span)
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def national(span: str) -> int:
+    """Check letters and digits of national numbers, where there are any."""
+    s = re.sub(r"[ -]", "", span)
+    if re.match(r"[\dXYZ]\d{7}[A-Z]$", s):
+        return 1 if "TRWAGMYFPDXBNJZSQVHLCKE"[int(s[:-1].translate(str.maketrans("XYZ", "012"))) % 23] == s[-1] else -1
+    if len(s) == 15 and s.isdigit():
+        return 1 if 97 - int(s[:13]) % 97 == int(s[13:]) else -1
+    return 0
+
+
 def _gazetteer(kind: str, span: str) -> int:
     if kind == "email":
         return 1 if span.rpartition(".")[2].lower() in TOP_LEVEL else -1
@@ -110,6 +154,12 @@ def _gazetteer(kind: str, span: str) -> int:
         return 1 if span.startswith(ISSUERS) else -1
     if kind == "ip":
         return -1 if span.split(".")[0] in ("0", "127", "255") else 1
+    if kind == "iban":
+        return 1 if span[:2] in IBAN_COUNTRIES else -1
+    if kind == "national":
+        return 1 if _STRICT["national"].match(span) else -1
+    if kind in ("address", "name"):
+        return 0 if kind == "name" and not TITLES.isdisjoint(span.split()) else 1
     if kind == "key":
         return 1 if span.startswith(KEY_PREFIXES) else 0
     if kind == "secret":
@@ -204,12 +254,13 @@ def patterns(docs: DataFrame) -> DataFrame:
 
         seen: Counter = Counter()
         for batch in batches:
-            for _, _, _, kind, votes, form in _found(batch.column(0).to_pylist()):
-                seen[kind, _code(votes), _code(form)] += 1
+            for _, texts in text_parts(batch, 0):
+                for _, _, _, kind, votes, form in _found(texts):
+                    seen[kind, _code(votes), _code(form)] += 1
         columns = list(zip(*((*k, n) for k, n in seen.items()))) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "kind string, votes string, features string, n long").groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "kind string, votes string, features string, n long").groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
 
 
 def reliabilities(kind: np.ndarray, votes: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -303,25 +354,26 @@ def resolve(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, st
         if x[1] > reach or outer and x[:2] == outer[-1][:2]:
             outer.append(x)
             reach = max(reach, x[1])
-    stay: list[tuple[int, int, str, float]] = []
+    stay: list[tuple[int, int, str, float]] = []  # in order, without overlaps
     for a, b, kind, p in sorted(outer, key=lambda x: (-round(x[3], 1), x[0] - x[1], order[x[2]], x[0])):
         # what a better one leaves of a span is still hidden
-        stay += [(x, y, kind, p) for x, y in _gaps(stay, a, b)]
-    return sorted(stay)
+        for x, y in _gaps(stay, a, b):
+            insort(stay, (x, y, kind, p))
+    return stay
 
 
 def _gaps(taken: list[tuple[int, int, str, float]], a: int, b: int) -> list[tuple[int, int]]:
-    """What of a to b isn't taken."""
+    """What of a to b isn't taken; taken is in order and without overlaps."""
     out, at = [], a
-    for x, y, *_ in sorted(taken):
+    k = max(0, bisect_left(taken, (a,)) - 1)
+    while at < b and k < len(taken) and taken[k][0] < b:
+        x, y = taken[k][:2]
         if x > at:
-            out.append((at, min(x, b)))
-        at = max(at, y)
-        if at >= b:
-            break
+            out.append((at, x))
+        at, k = max(at, y), k + 1
     if at < b:
         out.append((at, b))
-    return [(x, y) for x, y in out if y > x]
+    return out
 
 
 def _decided(texts: list[str], model: SpanClassifier, threshold: float) -> Iterator[tuple[int, int, int, str, float]]:
@@ -348,10 +400,10 @@ def spans(docs: DataFrame, model: SpanClassifier | None = None, threshold: float
             if shared.value is None:
                 return
             ids = batch.column(0).to_pylist()
-            rows = [(ids[row], a, b, kind, round(p, 6)) for row, a, b, kind, p in _decided(batch.column(1).to_pylist(), shared.value, threshold)]
+            rows = [(ids[part.start + row], a, b, kind, round(p, 6)) for part, texts in text_parts(batch, 1) for row, a, b, kind, p in _decided(texts, shared.value, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema.types)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, begin int, end int, kind string, probability double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, begin int, end int, kind string, probability double")
 
 
 def redact(docs: DataFrame, model: SpanClassifier | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -385,4 +437,4 @@ def redact(docs: DataFrame, model: SpanClassifier | None = None, threshold: floa
                 columns[sized] = pa.array(counts, batch.schema.types[sized])
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
