@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, checked_broadcast, keep_ids, materialise
-from docloom.llm.textvec import Words, gram_hashes, text_blocks
+from docloom.llm.common import BROADCAST_BYTES, among, bitmap, checked_broadcast, keep_ids, materialise, tidy
+from docloom.llm.textvec import Words, gram_hashes, text_parts
 
 MIN_TILE = 5
 THRESHOLD = 0.5
@@ -116,10 +116,9 @@ def _scan(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: _Seeds = shared.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = []
-            for part in text_blocks(texts):
-                words = Words(texts[part])
+            ids, rows = batch.column(0).to_pylist(), []
+            for part, texts in text_parts(batch, 1):
+                words = Words(texts)
                 for t, i in seeds.meet(words):
                     item_id, item = seeds.items[i]
                     share, count = cover(words.of(t), item, seeds.min_tile)
@@ -140,7 +139,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, thres
 
     Null or empty texts have no words and never match; an item of fewer than
     min_tile words can't be found and is left out.  A null id stays null in
-    the result.  Repeated rows give one row, with the highest coverage.
+    the result.  Repeated rows give one row, that of the highest coverage and
+    of equals the one of fewest tiles; all rows without an id count as one.
+    Texts of any length are tiled whole.
     Either table may be empty, and other columns are not looked at.
     """
     docs = docs.select("doc_id", "text").filter(F.length("text") > 0)
@@ -149,25 +150,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, thres
     characters = benchmark.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
     if characters * 8 <= limit:
         shared = spark.sparkContext.broadcast(_Seeds(_items([tuple(r) for r in benchmark.collect()], min_tile), min_tile))
-        found = docs.mapInArrow(_scan(shared, threshold), _OUT)
+        found = docs.mapInArrow(tidy(_scan(shared, threshold)), _OUT)
     else:
-        found = _joined(docs, benchmark, min_tile, threshold)
-    return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("tiles").alias("tiles"))
+        nameless = docs.filter("doc_id IS NULL")
+        found = _joined(docs.filter("doc_id IS NOT NULL"), benchmark, min_tile, threshold)
+        if not nameless.isEmpty():
+            rows = materialise(nameless.select(F.monotonically_increasing_id().alias("doc_id"), "text"), "nameless")
+            found = found.union(_joined(rows, benchmark, min_tile, threshold).withColumn("doc_id", F.lit(None).cast("long")))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", -F.col("tiles"))).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.coverage").alias("coverage"), (-F.col("best.col2")).cast("int").alias("tiles"))
 
 
 def _seed_rows(min_tile: int, shared=None):
-    schema = pa.schema([("id", pa.int64()), ("seed", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = None if shared is None else shared.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in text_blocks(texts):
-                words = Words(texts[part])
+            ids = batch.column(0)
+            for part, texts in text_parts(batch, 1):
+                words = Words(texts)
                 g, place = words.grams(min_tile)
                 doc = words.doc[place]
-                if bitmap is not None:
-                    keep = (bitmap[g >> np.uint64(67 - 30)] >> ((g >> np.uint64(64 - 30)) & np.uint64(7)).astype(np.uint8)) & 1 != 0
+                if shared is not None:
+                    keep = among(*shared.value, g)
                     g, doc = g[keep], doc[keep]
                 if len(g):
                     by = np.lexsort((g, doc))
@@ -179,28 +184,16 @@ def _seed_rows(min_tile: int, shared=None):
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, min_tile: int, threshold: float) -> DataFrame:
-    """The same result by joins, for a benchmark of any size."""
+    """The same result by joins, for a benchmark of any size and documents with ids."""
     spark = docs.sparkSession
-    item_seed = materialise(benchmark.select("item_id", "item_text").mapInArrow(_seed_rows(min_tile), "id long, seed long"), "item-seeds")
-    filled = item_seed.selectExpr("shiftrightunsigned(seed, 37) AS byte", "shiftleft(1, CAST(shiftrightunsigned(seed, 34) & 7 AS INT)) AS bit").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    bitmap = np.zeros(1 << 27, np.uint8)  # of one size however long the benchmark is
-    for r in filled.toLocalIterator():
-        bitmap[r[0]] = r[1]
-    shared = spark.sparkContext.broadcast(bitmap)
-    doc_seed = docs.select("doc_id", "text").mapInArrow(_seed_rows(min_tile, shared), "id long, seed long").withColumnRenamed("id", "doc_id")
-    pairs = doc_seed.join(item_seed.withColumnRenamed("id", "item_id"), "seed").select("doc_id", "item_id").distinct()
+    item_seed = materialise(benchmark.select("item_id", "item_text").mapInArrow(tidy(_seed_rows(min_tile)), "id long, hash long"), "item-seeds")
+    shared = spark.sparkContext.broadcast(bitmap(item_seed))
+    doc_seed = docs.select("doc_id", "text").mapInArrow(tidy(_seed_rows(min_tile, shared)), "id long, hash long").withColumnRenamed("id", "doc_id")
+    pairs = doc_seed.join(item_seed.withColumnRenamed("id", "item_id"), "hash").select(F.col("doc_id").alias("__doc"), "item_id").distinct()
     pairs = materialise(pairs, "seed-pairs")
-    out = None
-    for null in (False, True):  # equality can't see nulls
-        some = pairs.filter(F.col("doc_id").isNull() if null else F.col("doc_id").isNotNull())
-        if null:
-            side = docs.filter("doc_id IS NULL").crossJoin(some.select("item_id"))
-        else:
-            wanted = some.select(F.col("doc_id").alias("__doc"), "item_id")
-            side = keep_ids(docs, some.select("doc_id").distinct(), "left_semi")
-            side = side.join(wanted, side["doc_id"] == wanted["__doc"]).drop("__doc")
-        side = side.join(benchmark.withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item"))).select("doc_id", "item_id", "text", "item_text")
-        out = side if out is None else out.union(side)
+    side = keep_ids(docs, pairs.select(F.col("__doc").alias("doc_id")).distinct(), "left_semi")
+    side = side.join(pairs, side["doc_id"] == pairs["__doc"]).drop("__doc")
+    out = side.join(benchmark.withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item"))).select("doc_id", "item_id", "text", "item_text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +207,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, min_tile: int, threshold: flo
                         rows.append((ids[k], items[k], share, count))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, _ARROW.types)], schema=_ARROW)
 
-    return out.mapInArrow(check, _OUT)
+    return out.mapInArrow(tidy(check), _OUT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
