@@ -15,6 +15,9 @@ carries they leave few candidates, whose exact cosine decides.
 How near is near enough follows from the spread of a random direction: SPREAD
 standard deviations.  A neighbour that lies beyond is missed, which for
 differences without a direction of their own is about one in ten thousand.
+
+Equal vectors are searched for once.  Pairs are counted and joined into groups
+where they are found and never leave that place.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialise
+from docloom.llm.common import checked_broadcast, discard, groups, hang_together, materialise, tidy
 
 THRESHOLD = 0.95
 SUBSPACES = 8
@@ -61,7 +64,7 @@ def units(vectors: DataFrame, key: str, column: str) -> tuple[DataFrame, int]:
             data = [r.tobytes() for r in x[good].astype(np.float32)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array(data, pa.binary())], schema=schema)
 
-    return materialise(some.filter(F.size("e") == dim).mapInArrow(run, "id long, v binary").distinct(), "units"), dim
+    return materialise(some.filter(F.size("e") == dim).mapInArrow(tidy(run), "id long, v binary").distinct(), "units"), dim
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -104,7 +107,7 @@ def _lloyd(rows: DataFrame, dim: int, groups: Callable[[np.ndarray], Iterator[tu
         yield totals({}, ((g, np.frombuffer(s, np.float64), n) for b in batches for g, s, n in zip(*(c.to_pylist() for c in b.columns))))
 
     kind = "g int, s binary, n long"
-    return {r["g"]: (np.frombuffer(bytes(r["s"]), np.float64), r["n"]) for r in rows.select("v").mapInArrow(partial, kind).repartition("g").mapInArrow(combine, kind).toLocalIterator()}
+    return {r["g"]: (np.frombuffer(bytes(r["s"]), np.float64), r["n"]) for r in rows.select("v").mapInArrow(tidy(partial), kind).repartition("g").mapInArrow(tidy(combine), kind).toLocalIterator()}
 
 
 class Index:
@@ -161,7 +164,7 @@ class Index:
 
 
 def _search(index: Index, members: tuple, queries: tuple, number: int, radius: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, member, cosine) of the pairs within one list."""
+    """(query, member, cosine) of the pairs within one list, by their places."""
     ids, codes, error, x = members
     q_ids, q_own, q = queries
     slack = min(1.0, SPREAD / index.dim**0.5)
@@ -182,11 +185,11 @@ def _search(index: Index, members: tuple, queries: tuple, number: int, radius: f
             r, c = row[k : k + 200_000], col[k : k + 200_000]
             cosine = (some[r].astype(np.float64) * x[c]).sum(1)
             good = cosine >= threshold - 1e-9
-            yield q_ids[i : i + step][r[good]], ids[c[good]], cosine[good]
+            yield i + r[good], c[good], cosine[good]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(vec_a, vec_b, cosine), vec_a < vec_b: pairs of cosine threshold or more.
+    """(vec_a, vec_b, cosine), vec_a < vec_b: pairs of different vectors of cosine threshold or more, each by its lowest id.
 
     Vectors that are null, empty, zero or of another length than most, or that
     hold a null, a NaN or an infinity, are in no pair, nor is one without an
@@ -195,10 +198,61 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     columns are not looked at.
     """
     rows, dim = units(vectors, key, column)
+    reps = materialise(rows.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "vectors")
+    found = _found(reps, dim, threshold, _as_pairs, "vec_a long, vec_b long, cosine double")
+    return found.groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 4).alias("cosine"))
+
+
+def classes(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(vec_id, class_id, copies, links): one row for each id that has a vector to compare.
+
+    copies is the number of ids with the same vector (at length 1), links the
+    number of other vectors of cosine threshold or more, and class_id the
+    lowest id of all that hang together by equal vectors or links.  Vectors
+    that are null, empty, zero or of another length than most, or that hold a
+    null, a NaN or an infinity, are not compared, nor is one without an id.
+    Rows that repeat count once; an id with several vectors has the sums of
+    theirs, and doesn't link to itself.  An empty table has no classes; other
+    columns are not looked at.
+    """
+    rows, dim = units(vectors, key, column)
+    reps = materialise(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "v", "copies"), "vectors")
+    found = materialise(_found(reps.select("id", "v"), dim, threshold, _as_sums, "id long, links long, near long"), "links")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    copied = reps.filter("copies > 1")
+    if copied.isEmpty():
+        of = rows.select("id", F.col("id").alias("rep"), F.lit(1).cast("long").alias("copies"))
+    else:
+        side = checked_broadcast(copied.select(F.col("id").alias("rep"), "v", "copies"), 16 + 4 * dim)
+        of = rows.join(side, "v", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    of = of.join(checked_broadcast(links.withColumnRenamed("id", "rep"), 16), "rep", "left")
+    out = materialise(of.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.sum("copies").alias("copies"), F.coalesce(F.sum("links"), F.lit(0)).alias("links")), "similar")
+    several = of.join(checked_broadcast(out.filter("rep <> last").select("id"), 8), "id", "left_semi")
+    edges = found.select(F.col("id").alias("doc_a"), F.col("near").alias("doc_b")).union(several.select("id", "rep"))
+    group = groups(edges.filter("doc_a <> doc_b"))
+    discard(rows, reps, found)
+    out = out.join(checked_broadcast(group, 16).withColumnRenamed("doc_id", "rep"), "rep", "left")
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("group", "rep").alias("class_id"), "copies", "links")
+
+
+def _as_pairs(ids: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> Iterator[pa.RecordBatch]:
+    a, b = ids[a], ids[b]
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cosine)], names=["vec_a", "vec_b", "cosine"])
+
+
+def _as_sums(ids: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, links, near): of each vector the number of its partners here, and the least id of all that hang together here."""
+    links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+    least, here = hang_together(ids, a, b), np.flatnonzero(links)
+    yield pa.RecordBatch.from_arrays([pa.array(c[here]) for c in (ids, links, least)], names=["id", "links", "near"])
+
+
+def _found(rows: DataFrame, dim: int, threshold: float, emit, kinds: str) -> DataFrame:
+    """What emit makes of the pairs of each list, given as places in an array of ids."""
     spark = rows.sparkSession
     count = rows.count()
     if count < 2:
-        return rows.select(F.col("id").alias("vec_a"), F.col("id").alias("vec_b"), F.lit(0.0).alias("cosine")).filter("false")
+        return spark.createDataFrame([], kinds)
     index = Index(rows, dim, count)
     shared = spark.sparkContext.broadcast(index)
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
@@ -228,15 +282,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
                 none = pa.nulls(len(row))
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), none.cast(pa.binary()), none.cast(pa.float32()), batch.column(2).take(at)], schema=coded)
 
-    members = materialise(rows.mapInArrow(encode, kind), "members")
-    parts = {r["list"]: r["p"] for r in members.groupBy("list").agg(F.ceil(F.count("*") / PART).alias("p")).filter("p > 1").collect()}
-    split = F.lit(1)
-    for number, p in parts.items():
-        split = F.when(F.col("list") == number, p).otherwise(split)
-    split = split.cast("int")
-    queries = members.select("own", "id", "v").mapInArrow(probe, kind)
-    both = members.withColumn("part", F.pmod(F.xxhash64("id"), split).cast("int")).unionByName(queries.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))))
-    result = pa.schema([("vec_a", pa.int64()), ("vec_b", pa.int64()), ("cosine", pa.float64())])
+    members = materialise(rows.mapInArrow(tidy(encode), kind), "members")
+    crowd = members.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("p")).filter("p > 1")
+    crowd = checked_broadcast(materialise(crowd, "crowds").withColumnRenamed("list", "long_list"), 8)
+
+    def parted(side: DataFrame) -> DataFrame:
+        return side.join(crowd, F.col("list") == F.col("long_list"), "left").drop("long_list").withColumn("p", F.coalesce("p", F.lit(1)))
+
+    queries = members.select("own", "id", "v").mapInArrow(tidy(probe), kind)
+    own = parted(members).withColumn("part", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).drop("p")
+    both = own.unionByName(parted(queries).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).drop("p"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -255,8 +310,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
             codes = np.frombuffer(b"".join(m.column("code").to_pylist()), np.uint8).reshape(len(own), -1)
             mine = (m.column("id").to_numpy(), codes, m.column("error").to_numpy(), _matrix(m.column("v").combine_chunks(), dim))
             theirs = (q.column("id").to_numpy(), q.column("own").to_numpy(), _matrix(q.column("v").combine_chunks(), dim))
+            ids, place = np.unique(np.concatenate([mine[0], theirs[0]]), return_inverse=True)
             for a, b, c in _search(shared.value, mine, theirs, int(number[by[lo]]), radius, threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c)], schema=result)
+                yield from emit(ids, place[len(own) :][a], place[: len(own)][b], c)
 
-    found = both.repartition("list", "part").mapInArrow(search, "vec_a long, vec_b long, cosine double")
-    return found.groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 4).alias("cosine"))
+    return both.repartition("list", "part").mapInArrow(tidy(search), kinds)

@@ -62,6 +62,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op6_token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals under two vocabularies of the encoder: all documents are inserted under both, and those of low quality are deleted."""
+    import uuid
+
+    docs, low = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct().withColumn("low", F.lit(True))
+    counted = token_counts.bpe_counts(docs, {"bpe-50k": bpe.VOCABULARY, "bpe-multi-50k": bpe.VOCABULARY.replace("byte_bpe_50k", "byte_bpe_multi_50k")})
+    counted = materialise(counted.join(low, "doc_id", "left"), "counts")
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    for batch, op, rows, side in (("0001", "insert", counted, "new"), ("0002", "delete", counted.filter("low"), "old")):
+        parts = [token_counts.change(op, v, rows, **{side: F.col(f"`{v}`")}) for v in ("bpe-50k", "bpe-multi-50k")]
+        rollup.commit(batch, parts[0].union(parts[1]))
+    rollup.compact()
+    return rollup.totals()
+
+
 OP6_SQL = """
 WITH low AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
  kept AS (SELECT source, lang, text FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM low WHERE doc_id IS NOT NULL)),
@@ -78,14 +93,19 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of nearly equal embeddings."""
-    return pq.near_duplicates(read(spark, sf_dir, "embeddings"))
+    """Every embedding with its class of nearly equal ones and the number of its links."""
+    return pq.classes(read(spark, sf_dir, "embeddings"))
 
 
 OP8_SQL = f"""
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL),
- p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id)
-SELECT vec_a, vec_b, round(max(c), 4) AS cosine FROM p WHERE c >= {pq.THRESHOLD} GROUP BY vec_a, vec_b"""
+WITH RECURSIVE u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+ v AS (SELECT min(vec_id) AS rep, e, count(*) AS copies FROM u GROUP BY e),
+ link AS (SELECT a.rep AS a, b.rep AS b FROM v a JOIN v b ON a.rep <> b.rep AND list_cosine_similarity(a.e, b.e) >= {pq.THRESHOLD}),
+ reach(a, b) AS (SELECT rep, rep FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+ class AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+ n AS (SELECT a AS rep, count(*) AS links FROM link GROUP BY a)
+SELECT u.vec_id, class.class_id, v.copies, coalesce(n.links, 0) AS links
+FROM u JOIN v ON u.e = v.e JOIN class ON class.rep = v.rep LEFT JOIN n ON n.rep = v.rep"""
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,18 +126,46 @@ def test_columns_against_sorted_suffixes(tmp_path, files):
         assert lcp == got[2].tolist() and bwt == got[3].tolist()
 
 
-def test_embeddings_against_brute_force(spark):
+@pytest.mark.parametrize("part", [20_000, 7])
+def test_embeddings_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(pq, "PART", part)
     r = np.random.default_rng(2)
     base = r.normal(size=(150, 24))
     x = np.concatenate([base, base[:60] + 0.08 * r.normal(size=(60, 24)), base[:5], base[:1] * 1e200])
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    odd = [(None, [1.0] * 24, 1), (900, None, 1), (901, [], 1), (902, [0.0] * 24, 1), (903, [1.0, 2.0], 1), (904, [float("nan")] * 24, 1), (905, [float("inf")] * 24, 1), (906, [None] * 24, 1), rows[3]]
+    odd = [(None, [1.0] * 24, 1), (900, None, 1), (901, [], 1), (902, [0.0] * 24, 1), (903, [1.0, 2.0], 1), (904, [float("nan")] * 24, 1), (905, [float("inf")] * 24, 1), (906, [None] * 24, 1), rows[3], (140, rows[141][1], 1)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, list int").repartition(3)
-    got = {(a["vec_a"], a["vec_b"]): a["cosine"] for a in pq.near_duplicates(df).collect()}
     u = x / np.abs(x).max(1, keepdims=True)
-    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    own = {}  # the ids of each vector
+    for i, v in enumerate(u):
+        own.setdefault(v.tobytes(), set()).add(i)
+    own[u[141].tobytes()].add(140)
+    vectors = [(np.frombuffer(k), v) for k, v in own.items()]
+    links = {(i, j) for i, (a, _) in enumerate(vectors) for j, (b, _) in enumerate(vectors) if i != j and a @ b >= pq.THRESHOLD}
+    pairs_ = {(min(vectors[i][1]), min(vectors[j][1])) for i, j in links}
+    found = {(a["vec_a"], a["vec_b"]): a["cosine"] for a in pq.near_duplicates(df).collect()}
+    assert len(pairs_) > 60 and found.keys() == {(a, b) for a, b in pairs_ if a < b}
+    assert all(abs(c - u[a] @ u[b]) < 1e-3 for (a, b), c in found.items())
+    head = {i: i for i in range(len(x))}
+    for _ in range(20):
+        for group in [v for _, v in vectors] + [vectors[i][1] | vectors[j][1] for i, j in links]:
+            low = min(head[i] for i in group)
+            head |= {i: low for i in group}
+    want = {i: (head[i], sum(len(v) for _, v in vectors if i in v), sum(a in mine for mine in [{k for k, (_, v) in enumerate(vectors) if i in v}] for a, _ in links)) for i in head}
+    got = {r["vec_id"]: (r["class_id"], r["copies"], r["links"]) for r in pq.classes(df).collect()}
+    assert got == want and want[140][1] == 3 and want[141][0] == 140
+    assert pq.near_duplicates(df.limit(0)).count() == 0 and pq.classes(df.limit(0)).count() == 0
+
+
+def test_embeddings_recall_among_many_lists(spark):
+    """Near vectors across more lists than one, held against all cosines."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(3000, 64))
+    x = np.concatenate([base, *(base[:300] + 0.25 * r.normal(size=(300, 64)) for _ in range(3))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
-    want = {(i, j): s[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= pq.THRESHOLD}
-    assert len(want) > 30 and len(got.keys() & want.keys()) >= 0.95 * len(want) and not got.keys() - want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-3 for k in got)
-    assert pq.near_duplicates(df.limit(0)).count() == 0
+    want = {(i, j) for i, j in zip(*np.nonzero(s >= pq.THRESHOLD)) if i < j}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["vec_a"], r["vec_b"]) for r in pq.near_duplicates(df).collect()}
+    assert len(want) > 200 and len(got & want) >= 0.97 * len(want)
