@@ -94,8 +94,10 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length,seed", [(50, 16), (12, 4), (5, 5)])
-def test_repeats_against_brute_force(spark, length, seed):
+@pytest.mark.parametrize("length,seed,hot", [(50, 16, 50_000), (50, 16, 3), (12, 4, 50_000), (12, 4, 0), (5, 5, 3)])
+def test_repeats_against_brute_force(spark, monkeypatch, length, seed, hot):
+    """With seeds brought together and with all or some of them counted as hot ones."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     shared = [text(f"s{k}", 75) for k in range(4)]
     rows = [(i, " ".join([text(i, i * 7 % 90), shared[i % 4], text(i + 500, i % 30), shared[(i + 1) % 4]][: 1 + i % 4])) for i in range(24)]
     rows += [(300, "again and " * 200), (301, "alone again and " * 200)] + ODD

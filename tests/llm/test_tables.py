@@ -36,3 +36,43 @@ def test_rollup_is_idempotent_and_signed(spark):
     assert token_counts.Rollup(spark, f"{shared_dir(spark)}/nothing").totals().count() == 0
     rollup.commit("4", token_counts.change("delete", "t1", docs.limit(0), old=n))
     assert rollup.batches() == ["1", "2", "3", "4"]
+
+
+def test_rollup_claims_and_compaction(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, [(i, text(i, 5)) for i in range(12)])
+    n = token_counts.space_tokens(F.col("text"))
+    folder = f"{shared_dir(spark)}/test-rollup-{uuid.uuid4().hex}"
+    one, two = token_counts.Rollup(spark, folder), token_counts.Rollup(spark, folder)
+    assert not one.compact()
+    first = token_counts.change("insert", "t", docs, new=n)
+    monkeypatch.setattr(two, "committed", lambda batch: False)  # as if both had looked before either wrote
+    assert one.commit("1", first) and not two.commit("1", first)
+    total = lambda r: [(x["n_docs"], x["n_tokens"]) for x in r.totals().collect()]
+    assert total(one) == [(12, 60)] and len(one._names("data")) == 1
+    assert one.compact() and total(one) == [(12, 60)] and not one.compact() and not one.commit("1", first)
+    one.commit("2", token_counts.change("delete", "t", docs.filter("doc_id < 2"), old=n))
+    assert total(one) == [(10, 50)] and one.compact() and total(one) == [(10, 50)]
+    assert one.batches() == ["1", "2"] and len(one._names("data")) == 3  # the first base and batch 2 may still be read
+    fs, p = one._fs("commits/3")
+    fs.create(p).close()  # a writer died between its claim and its word
+    assert not one.committed("3") and one.commit("3", first) and total(one) == [(22, 110)]
+
+
+def test_counts_of_two_vocabularies(spark):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from docloom.llm import bpe
+
+    paths = {"a": bpe.VOCABULARY, "b": bpe.VOCABULARY.replace("byte_bpe_50k", "byte_bpe_multi_50k")}
+    rows = [(1, "It's 12 o'clock, été"), *ODD]
+    got = token_counts.bpe_counts(frame(spark, rows), paths).collect()
+    assert len(got) == len(rows)
+    for v, path in paths.items():
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        assert sorted(r[v] for r in got) == sorted(len(plain.encode_ordinary(t or "")) for _, t in rows)

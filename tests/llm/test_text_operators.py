@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import ODD, frame, text
 from hypothesis import given, settings
@@ -200,3 +201,130 @@ def test_lexicon_finds_toxic_documents(spark):
     got = {x["doc_id"] for x in lexicon.toxic(docs, labels, found).collect()}
     assert got == {i for i in toxic if toxic[i]}
     assert lexicon.toxic(docs.limit(0), labels).count() == 0 and lexicon.toxic(docs, labels.limit(0)).count() == 0
+
+
+def brute_graph(texts, nodes, window):
+    """Discounted positive pointwise mutual information from its definition."""
+    n = Counter()
+    for t in texts:
+        w = t.lower().split()
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + window + 1)):
+                if w[i] in nodes and w[j] in nodes and w[i] != w[j]:
+                    n[w[i], w[j]] += 1
+                    n[w[j], w[i]] += 1
+    mass = Counter()
+    for (x, _), c in n.items():
+        mass[x] += c
+    total = sum(mass.values())
+    pmi = {(x, y): math.log2(c * total / (mass[x] * mass[y])) * c / (c + 1) for (x, y), c in n.items()}
+    return {k: v for k, v in pmi.items() if v > 0}
+
+
+def test_word_graph_walks_and_scores_against_brute_force(spark):
+    texts = [text(i, 40) for i in range(30)]
+    names = sorted(set(texts[0].split()) | set(texts[1].split()))
+    hashes = np.array([int(Words([w]).hash[0]) for w in names], np.uint64)
+    by = np.argsort(hashes)
+    hashes, names = hashes[by], [names[i] for i in by]
+    docs = frame(spark, list(enumerate(texts)) + ODD[2:5])
+    graph = lexicon.edges(lexicon.near(docs, hashes, 6))
+    got = {(names[r["x"]], names[r["y"]]): r["ppmi"] for r in graph.collect()}
+    want = brute_graph(texts, set(names), 6)
+    assert got.keys() == want.keys() and len(want) > 100 and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+    n = len(names)
+    weight = np.zeros((n, n))
+    for (x, y), v in want.items():
+        weight[names.index(x), names.index(y)] = v
+    seeds = [np.array([0, 3]), np.array([5]), np.zeros(0, np.int64)]
+    out = weight.sum(1)
+    chain = weight / np.where(out > 0, out, 1)[:, None]
+    for s, p in zip(seeds, lexicon.walks(graph, n, seeds, 0.4)):
+        start = np.zeros(n)
+        start[s] = 1 / max(1, len(s))
+        stay = chain + np.outer(out == 0, start)
+        exact = np.linalg.solve(np.eye(n) - 0.6 * stay.T, 0.4 * start)
+        assert np.abs(p - exact).max() < 1e-5
+    polarity = np.linspace(-1, 1, n)
+    words = lexicon.Lexicon(names, hashes, polarity, 0.2, 0.5)
+    strong = {w: p for w, p in zip(names, polarity) if p >= 0.5}
+    score = {i: sum(strong.get(w, 0) for w in t.split()) / math.sqrt(len(t.split())) for i, t in enumerate(texts)}
+    found = {r["doc_id"]: r["score"] for r in lexicon.toxic(docs, None, words).collect()}
+    assert found.keys() == {i for i, v in score.items() if v >= 0.2} and found and all(math.isclose(found[i], score[i]) for i in found)
+
+
+def test_lexicon_takes_rare_words_and_rates_no_copies_twice(spark):
+    """A toxic word in 1.2 % of the documents, and a clean text that was copied among the toxic ones under another label."""
+    rows, toxic = [], {}
+    for i in range(900):
+        w = text(i, 50).split()
+        toxic[i] = i % 10 == 0
+        if toxic[i]:
+            for k in (5, 20, 35):
+                w[k] = "vilk"
+            if i % 80 == 0:
+                w[7] = w[21] = "rarely"
+        rows.append((i, " ".join(w)))
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(t)) for i, t in toxic.items()], "doc_id long, toxic int")
+    found = lexicon.induce(docs, labels)
+    assert {w for w, p in zip(found.word, found.polarity) if p >= found.least} == {"vilk", "rarely"}
+    sketch = [(r[0], bytes(r[1])) for r in lexicon._signatures(frame(spark, [(1, text(1, 60)), (2, text(1, 60)), (3, text(1, 59) + " baal"), (4, text(4, 60)), (5, text(1, 60))])).collect()]
+    assert lexicon.near_copies(sketch, {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}) == {2, 3}
+
+
+def test_reliabilities_and_span_classifier_against_brute_force():
+    r = random.Random(8)
+    truth = [r.random() < 0.6 for _ in range(300)]
+    votes = [tuple((1 if y == (r.random() < 0.85) else -1) if r.random() < 0.8 else 0 for _ in range(5)) for y in truth]
+    kind = [r.randrange(3) for _ in truth]
+    weight = [r.randint(1, 4) for _ in truth]
+    q, table = pii.reliabilities(np.array(kind), np.array(votes), np.array(weight, float))
+    mine = [1 / (1 + math.exp(-1.5 * sum(v))) for v in votes]
+    for _ in range(50):
+        say = [[[1.0, 2.0, 4.0] if y == 0 else [4.0, 2.0, 1.0] for _ in range(5)] for y in (0, 1)]
+        for v, p, w in zip(votes, mine, weight):
+            for j in range(5):
+                say[0][j][v[j] + 1] += p * w
+                say[1][j][v[j] + 1] += (1 - p) * w
+        say = [[[c / sum(row) for c in row] for row in half] for half in say]
+        share = [(sum(p * w for p, w, k in zip(mine, weight, kind) if k == x) + 1) / (sum(w for w, k in zip(weight, kind) if k == x) + 2) for x in range(3)]
+        mine = [1 / (1 + math.exp(-(math.log(share[k] / (1 - share[k])) + sum(math.log(say[0][j][v[j] + 1] / say[1][j][v[j] + 1]) for j in range(5))))) for v, k in zip(votes, kind)]
+    assert max(abs(a - b) for a, b in zip(q, mine)) < 1e-6 and np.abs(table[0] - np.array(say[0])).max() < 1e-6
+    assert sum((a > 0.5) == y for a, y in zip(q, truth)) > 270
+    form = np.array([(k, r.randrange(3), int(y)) for k, y in zip(kind, truth)])
+    model = pii.SpanClassifier(form, q, np.array(weight, float))
+    p = np.array([model.probability(tuple(x)) for x in form.tolist()])
+    for cell, at in model.index.items():  # the gradient of the penalised likelihood is 0
+        own = np.array([cell in model._cells(x) for x in form.tolist()])
+        assert abs((np.array(weight) * (q - p))[own].sum() - model.w[at]) < 1e-3
+
+
+def test_pii_forms_take_words_of_any_length():
+    import time
+
+    for word in ("aB3/" * 250_000, "ab1" * 350_000, "a:" * 300_000, "1.2-" * 200_000):
+        list(pii._found(["x"]))
+        began = time.time()
+        assert sum(1 for _ in pii._found([f"x {word} y"])) < 5
+        assert time.time() - began < 15  # the square of the length would take hours
+
+
+NEW_KINDS = [("2001:db8::ff00:42:8329", "ip"), ("DE89 3704 0044 0532 0130 00", "iban"), ("078-05-1120", "national"), ("12345678Z", "national"), ("123 Main Street", "address"), ("12 rue de la Paix", "address"), ("Hauptstraße 5", "address")]
+
+
+@pytest.mark.parametrize("span,kind", NEW_KINDS)
+def test_pii_kinds(span, kind):
+    found = {(a, b): votes for a, b, k, votes, _ in pii.candidates(f"ab {span} cd", 0, len(span) + 6) if k == kind}
+    assert sum(found[3, 3 + len(span)]) >= 2
+    assert pii.mod_97("DE89370400440532013000") and not pii.mod_97("DE88370400440532013000")
+    assert pii.national("12345678A") == -1 and pii.valid_v6("::1") and not pii.valid_v6("1:2:3")
+
+
+def test_leaks_of_repeated_ids_are_those_of_one_text(spark):
+    item = text("item", 40).split()
+    whole, cut = " ".join(item), " ".join([*item[:12], "x y z", *item[12:24], "u v w", *item[24:34]])
+    bench = spark.createDataFrame([(1, whole)], "item_id long, text string")
+    for limit in (1 << 26, 0):
+        got = decontamination.leaks(frame(spark, [(1, cut), (1, whole), (2, cut)]), bench, limit=limit).collect()
+        assert sorted((r["doc_id"], r["coverage"], r["tiles"]) for r in got) == [(1, 1.0, 1), (2, 0.85, 3)]
