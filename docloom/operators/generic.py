@@ -7,6 +7,7 @@ makes one of a Python function over whole columns, by Arrow.
 
 from __future__ import annotations
 
+from builtins import any as any_
 from collections.abc import Callable
 
 import pandas as pd
@@ -62,8 +63,18 @@ def take(df: DataFrame, n: int, *order: Expression) -> DataFrame:
 
 
 def skip(df: DataFrame, n: int, *order: Expression) -> DataFrame:
-    """All but the first n rows; all for n below 1."""
-    return df.orderBy(*map_(order)).offset(max(n, 0))
+    """All but the first n rows; all for n below 1.
+
+    Only those first n come together in one place; the others are what is left
+    without them, as often as each row is there.  Columns that can't be
+    compared (maps, variants) take an offset, which brings all rows together.
+    """
+    by = map_(order)
+    if n < 1:
+        return df.orderBy(*by)
+    if any_(("map<" in kind or "variant" in kind) for _, kind in df.dtypes):
+        return df.orderBy(*by).offset(n)
+    return df.exceptAll(df.orderBy(*by).limit(n)).orderBy(*by)
 
 
 def map_(order: tuple[Expression, ...]) -> list[Column]:

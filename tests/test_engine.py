@@ -206,3 +206,17 @@ def test_main_part_of_a_page(inner, want):
 
     found = html.parse(f"<html><body><h1>Outside</h1>{inner}</body></html>").headings
     assert [h["text"] for h in found] == want
+
+
+def test_skip_brings_no_more_than_the_first_rows_together(spark):
+    from docloom.operators import generic as G
+
+    rows = [(k % 5, k // 10, "x") for k in range(40)] * 2
+    df = spark.createDataFrame(rows, "a int, b int, c string").repartition(4)
+    for n in (-1, 0, 1, 7, 79, 80, 99):
+        got = [tuple(r) for r in G.skip(df, n, "a", "b").collect()]
+        assert got == sorted(rows)[max(0, n) :]
+    plan = G.skip(df, 7, "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "CollectLimit" not in plan
+    maps = df.selectExpr("a", "map(a, b) AS m")
+    assert G.skip(maps, 7, "a").count() == 73
