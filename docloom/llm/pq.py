@@ -56,7 +56,7 @@ def units(vectors: DataFrame, key: str, column: str) -> tuple[DataFrame, int]:
             if not batch.num_rows:
                 continue
             flat = batch.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-            x = np.nan_to_num(flat.reshape(-1, dim), nan=np.inf)
+            x = np.where(np.isnan(flat), np.inf, flat).reshape(-1, dim)
             with np.errstate(all="ignore"):
                 x = x / np.abs(x).max(1, keepdims=True)  # else very large or small numbers overflow when squared
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
