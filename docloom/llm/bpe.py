@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.llm.common import tidy
+from docloom.llm.common import bounded_batches, tidy
 from docloom.llm.textvec import _BASE, code_points, mix, powers, text_parts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -255,6 +255,7 @@ def codec(shared) -> Codec:
 
 
 def _share(df: DataFrame, path: str):
+    bounded_batches(df.sparkSession)
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -262,7 +263,8 @@ def _share(df: DataFrame, path: str):
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip) of each row; round_trip: the tokens decode to the very bytes of the text.
 
-    A null or empty text has no tokens.  Rows are coded one by one, so
+    A null or empty text has no tokens; a text of any length is coded whole.
+    Of pairs of equal rank the leftmost is merged first.  Rows are coded one by one, so
     repeated rows and null ids stay as they are; other columns are not looked
     at; an empty table gives an empty table.
     """

@@ -46,6 +46,17 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of texts that go to a Python worker at once, unless the session says otherwise.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller batches for Python workers than Spark's own default, which is meant for narrow rows; another number set by the user stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow, after which the worker gives the memory of its task back to the system: it lives on, idle or for other operators."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, among, bitmap, checked_broadcast, keep_ids, materialise, tidy
+from docloom.llm.common import BROADCAST_BYTES, among, bitmap, bounded_batches, checked_broadcast, keep_ids, materialise, tidy
 from docloom.llm.textvec import Words, gram_hashes, text_parts
 
 MIN_TILE = 5
@@ -144,6 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, thres
     Texts of any length are tiled whole.
     Either table may be empty, and other columns are not looked at.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").filter(F.length("text") > 0)
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).filter(F.length("item_text") > 0).distinct()
     spark = docs.sparkSession

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checked_broadcast, discard, groups, hang_together, keep_ids, materialise, tidy
+from docloom.llm.common import bounded_batches, checked_broadcast, discard, groups, hang_together, keep_ids, materialise, tidy
 from docloom.llm.textvec import Words, gram_hashes, mix, text_parts
 
 N = 3
@@ -417,6 +417,7 @@ def _as_sums(owner: np.ndarray, name: np.ndarray, left: np.ndarray, right: np.nd
 
 def _sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """docs as they are read; signatures; (n, set1, set2, prefix, rep, copies) of each set; and the pairs of representatives that may be similar."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     shared = _order(docs, n)
     sig = materialise(signatures(docs, n, threshold, shared).distinct(), "signatures")
@@ -468,7 +469,8 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
     similar sets.  An id that repeats with other texts is one document: it has
     the lowest set_id and the sum of the copies and links of its texts.  Rows
     without an id or without words are similar to none; a text of fewer than n
-    words is one n-gram; ties go to the lowest id.  An empty table gives no
+    words is one n-gram, and one of any length is taken whole; a similarity
+    that equals the threshold counts; ties go to the lowest id.  An empty table gives no
     rows; other columns are not looked at.
     """
     docs, sig, reps, pairs = _sets(docs, n, threshold)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, checked_broadcast, keep_ids, materialise, small_enough, tidy
+from docloom.llm.common import BROADCAST_BYTES, bounded_batches, checked_broadcast, keep_ids, materialise, small_enough, tidy
 from docloom.llm.textvec import code_points, text_parts
 
 N = 5
@@ -364,6 +364,7 @@ class Classifier:
     """A trained model with its thresholds."""
 
     def __init__(self, trusted: DataFrame, n: int = N, quantile: float = QUANTILE, limit: int = BROADCAST_BYTES):
+        bounded_batches(trusted.sparkSession)
         trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter(F.length("text") > 0)
         self.n = n
         self.model = materialise(train(trusted.filter(~held_out(F.col("doc_id"))), n), "model")
@@ -430,7 +431,8 @@ def fit(docs: DataFrame, labels: DataFrame, **kwargs) -> Classifier:
 
     A text that is null or empty has no perplexity and is never rejected, nor
     is one whose language has no trusted documents; a null language is one of
-    its own.  A null id is in no label.  Rows that repeat count each time.  An
+    its own.  A text of any length is scored whole, and one whose perplexity
+    equals its threshold stays.  A null id is in no label.  Rows that repeat count each time.  An
     empty table of documents or labels rejects nothing.  Columns other than
     doc_id, lang, text and quality are not looked at.
     """

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialise, tidy
+from docloom.llm.common import bounded_batches, materialise, tidy
 from docloom.llm.textvec import code_points, text_blocks, text_parts
 
 THRESHOLD = 0.5
@@ -247,6 +247,7 @@ def _code(numbers: tuple[int, ...]) -> str:
 
 def patterns(docs: DataFrame) -> DataFrame:
     """(kind, votes, features, n): how often each pattern occurs in the corpus."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("kind", pa.string()), ("votes", pa.string()), ("features", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +388,10 @@ def spans(docs: DataFrame, model: SpanClassifier | None = None, threshold: float
     """(doc_id, begin, end, kind, probability) of each span of personal data or secret; places count characters from 0.
 
     Trained on docs unless a model is given.  A null or empty text has no
-    spans; null ids stay null; rows that repeat give their spans each time; an
+    spans; texts and words of any length are searched whole, in linear time.
+    A probability that equals the threshold counts; where accepted spans
+    overlap, one that lies within another gives way, then the less probable,
+    the shorter and the later form; null ids stay null; rows that repeat give their spans each time; an
     empty table gives no spans.  Columns other than doc_id and text are not
     looked at.
     """
@@ -407,7 +411,12 @@ def spans(docs: DataFrame, model: SpanClassifier | None = None, threshold: float
 
 
 def redact(docs: DataFrame, model: SpanClassifier | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with each span replaced by its kind in angle brackets and n_chars, where there is one, set anew; all columns stay."""
+    """docs with each span replaced by its kind in angle brackets and n_chars, where there is one, set anew; all columns stay.
+
+    Null and empty texts, null ids and other columns stay as they are; every
+    row is judged by its own text, repeated ones each; an empty table stays
+    empty.  As to overlaps, ties and long texts it is as `spans`.
+    """
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

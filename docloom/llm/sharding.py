@@ -79,7 +79,8 @@ def assign(docs: DataFrame, spec: dict = PRODUCTION_TREE, key: str = "doc_id") -
     """(doc_id, region, rack, shard) of every row of docs.
 
     A null key draws as the empty string, so all such rows share one shard.
-    Repeated keys get the same shard.  Columns of docs other than the key are
+    Repeated keys get the same shard; of children that draw the same the first
+    in the tree is taken.  Columns of docs other than the key are
     not looked at, whatever their names; an empty table gives an empty table.
     """
     nodes = tree(spec)
@@ -111,7 +112,11 @@ SELECT doc_id, region, rack, CASE {shards} END AS shard FROM two"""
 
 
 def moved(docs: DataFrame, before: dict, after: dict, key: str = "doc_id") -> DataFrame:
-    """Rows whose shard differs between two trees: (doc_id, from_path, to_path)."""
+    """Rows whose shard differs between two trees: (doc_id, from_path, to_path).
+
+    As to null and repeated keys, ties, empty tables and other columns it is
+    as `assign`; each repeated row that moves is in the result.
+    """
     path = F.concat_ws("/", "region", "rack", "shard")
     a, b = tree(before), tree(after)
     out = docs.select(F.col(key).alias("doc_id"))

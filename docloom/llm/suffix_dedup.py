@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import among, bitmap, checked_broadcast, discard, materialise, shared_dir, tidy
+from docloom.llm.common import among, bitmap, bounded_batches, checked_broadcast, discard, materialise, shared_dir, tidy
 from docloom.llm.textvec import Words, gram_hashes, sliding_min, text_parts
 
 LENGTH = 50
@@ -319,10 +319,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     runs of letters, marks and digits in lower case.  A passage that a document
     repeats in itself doesn't count, nor do rows that repeat an id: they are
     one document.  Rows without an id, and null, empty or shorter texts have no
-    passages.  An empty table gives none; other columns are not looked at.
+    passages; texts of any length are read whole; of equal strings all places
+    are found.  An empty table gives none; other columns are not looked at.
     """
     if not 0 < seed <= length:
         raise ValueError("a seed must have between 1 and length words")
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     spark = docs.sparkSession
     counted = materialise(_spread(docs, lambda words: _winnowed(words, seed, length - seed + 1)).select("hash", "n"), "seeds")

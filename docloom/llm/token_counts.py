@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.bpe import Codec
-from docloom.llm.common import tidy
+from docloom.llm.common import bounded_batches, tidy
 from docloom.llm.textvec import text_parts
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -40,8 +40,9 @@ def signed(changes: DataFrame) -> DataFrame:
 
     op is insert (+new), delete (-old) or revise (+new -old, no change of
     documents); any other or null op adds nothing.  A null count is 0; null
-    keys form a group of their own; repeated rows count each time; columns
-    other than those named in CHANGES are not looked at.
+    keys form a group of their own; repeated rows count each time; an empty
+    table has no totals; columns other than those named in CHANGES are not
+    looked at.
     """
     op = F.lower(F.col("op"))
     old, new = F.coalesce("old_tokens", F.lit(0)).cast("long"), F.coalesce("new_tokens", F.lit(0)).cast("long")
@@ -51,7 +52,12 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """The rollup kept in one folder that all executors share."""
+    """The rollup kept in one folder that all executors share.
+
+    Batches may be empty and their rows repeat or hold nulls, see `signed`; the
+    totals of a folder without batches are empty.  Of several writers of one
+    batch id the first to claim it counts.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -165,6 +171,7 @@ def bpe_counts(docs: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
     A null or empty text has none; rows that repeat are counted each, and null
     ids and keys stay null.
     """
+    bounded_batches(docs.sparkSession)
     files = {}
     for version, path in vocabularies.items():
         with open(path, "rb") as f:
