@@ -210,35 +210,31 @@ class Table:
 
     def __init__(self, rows: pa.Table, n: int):
         self.n = n
-        key = rows.column("key").to_numpy().view(np.uint64)
-        logp, backoff = (rows.column(c).to_numpy() for c in ("logp", "backoff"))
         real = ~rows.column("empty").to_numpy()
-        self.unknown = {int(key[i]): float(logp[i]) for i in np.flatnonzero(~real).tolist()}
-        key, logp, backoff = key[real], logp[real], backoff[real]
-        key, row = np.unique(key, return_inverse=True)  # logp and backoff come in rows of their own
-        merged = np.full((2, len(key)), np.nan, np.float32)
-        for column, values in zip(merged, (logp, backoff)):
-            there = ~np.isnan(values)
-            column[row[there]] = values[there]
-        logp, backoff = merged
+        none = rows.filter(pa.array(~real))
+        self.unknown = {int(k) & 0xFFFFFFFFFFFFFFFF: p for k, p in zip(none.column("key").to_pylist(), none.column("logp").to_pylist())}
+        rows = rows.filter(pa.array(real))
+        key = rows.column("key").to_numpy().view(np.uint64)
+        by = np.argsort(key)
+        key = key[by]
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        row = (np.cumsum(new) - 1).astype(np.int32)  # logp and backoff come in rows of their own
+        key = key[new]
         bits = max(10, int(np.ceil(np.log2(2 * len(key) + 1))))
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.key = np.zeros(1 << bits, np.uint64)
-        self.logp, self.backoff = np.full(1 << bits, np.nan, np.float32), np.full(1 << bits, np.nan, np.float32)
-        self.full = np.zeros(1 << bits, bool)
-        todo = np.arange(len(key))
-        slot = (key >> self.shift).astype(np.int64)
-        while len(todo):
-            s = slot[todo]
-            free = ~self.full[s]
-            _, first = np.unique(s, return_index=True)
-            wins = np.zeros(len(todo), bool)
-            wins[first] = True
-            wins &= free
-            w, ws = todo[wins], s[wins]
-            self.key[ws], self.logp[ws], self.backoff[ws], self.full[ws] = key[w], logp[w], backoff[w], True
-            todo = todo[~wins]
-            slot[todo] = np.where(free[~wins], slot[todo], (slot[todo] + 1) & self.mask)
+        self.shift = np.uint64(64 - bits)
+        # keys in order go to the first free slot from their own on: that of the key before, or further
+        slot = (key >> self.shift).astype(np.int64) - np.arange(len(key))
+        slot = np.maximum.accumulate(slot) + np.arange(len(key)) if len(key) else slot
+        size = max(1 << bits, int(slot[-1]) + 1 if len(key) else 0) + 1  # the last one stays free
+        self.key, self.full = np.zeros(size, np.uint64), np.zeros(size, bool)
+        self.key[slot], self.full[slot] = key, True
+        del key, new
+        for name in ("logp", "backoff"):
+            values = rows.column(name).to_numpy()[by]
+            there = np.flatnonzero(~np.isnan(values))
+            column = np.full(size, np.nan, np.float32)
+            column[slot[row[there]]] = values[there]
+            setattr(self, name, column)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Slot of each hash, -1 for those not there."""
@@ -247,7 +243,7 @@ class Table:
         out = np.where(hit, slot, -1)
         todo = np.flatnonzero(~hit & self.full[slot])
         while len(todo):
-            s = (slot[todo] + 1) & self.mask
+            s = slot[todo] + 1
             slot[todo] = s
             hit = (self.key[s] == h[todo]) & self.full[s]
             out[todo[hit]] = s[hit]
