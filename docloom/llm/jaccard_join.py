@@ -39,7 +39,7 @@ FREQUENT = 4
 MOST_RANKED = 4_000_000
 _WINDOW_CHARS = 32_000_000
 _PAIR_BLOCK = 500_000
-#: Pairs that are verified in one place; those of a larger crowd are spread by their first document.
+#: Pairs that are verified in one place; those of a larger crowd are spread by both of their documents.
 _CROWD = 200_000
 
 
@@ -155,7 +155,7 @@ def signatures(docs: DataFrame, n: int, threshold: float, shared) -> DataFrame:
     return docs.mapInArrow(tidy(run), ", ".join(f"{x} long" for x in names))
 
 
-_POSTING = (6, 8, 4)
+_POSTING = (6, 8, 4, 6, 2)
 _PAIR = (8, 8, 4, 4)
 
 
@@ -192,15 +192,20 @@ def _unpacked(rows: pa.ChunkedArray, widths: tuple[int, ...]) -> list[np.ndarray
 
 
 def _prefix_rows(docs: DataFrame, n: int, threshold: float, shared) -> DataFrame:
-    """(bucket, rows): the prefix n-grams (upper 48 bits, document, size) of a block of texts, one row for each bucket of n-grams."""
+    """(bucket, rows): the prefix n-grams (upper 48 bits, document, size, n-gram before, 16 bits of that after) of a block of texts, one row for each bucket of n-grams."""
     schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, doc, g, _ in _scan(batches, n):
             g, doc, size, keep, _, _ = _prefixes(doc, g, shared.value, threshold)
-            g, size, ident = g[keep], size[keep], ids.to_numpy()[doc[keep]]
-            yield _packed((g % np.uint64(buckets)).astype(np.int32), (g >> np.uint64(16), ident, size), _POSTING, schema)
+            g, size, doc = g[keep], size[keep], doc[keep]
+            gram = g >> np.uint64(16)
+            before, after = np.zeros_like(gram), np.zeros_like(gram)
+            same = doc[1:] == doc[:-1]
+            before[1:] = np.where(same, gram[:-1], 0)
+            after[:-1] = np.where(same, gram[1:] % np.uint64(65535) + np.uint64(1), 0)
+            yield _packed((g % np.uint64(buckets)).astype(np.int32), (gram, ids.to_numpy()[doc], size, before, after), _POSTING, schema)
 
     return docs.mapInArrow(tidy(run), "bucket int, rows binary")
 
@@ -218,12 +223,15 @@ def _folded(code: np.ndarray, shared: np.ndarray, need: np.ndarray) -> tuple[np.
     return code[first], np.add.reduceat(shared[by], first), np.minimum.reduceat(need[by], first)
 
 
-def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of groups whose sizes allow the similarity and whose prefixes share enough n-grams for it.
+def _told(rows: DataFrame, threshold: float) -> DataFrame:
+    """(slot, pairs): of pairs of groups whose sizes allow the similarity, how many prefix n-grams they share in one place, and how many they need.
 
     What two sets share lies in both prefixes or in the rest of one of them, so
     it is at most what the prefixes share and the longer rest.  Each bucket
     tells how many prefix n-grams of its own a pair shares; the sum decides.
+    Of n-grams that follow each other in both prefixes only the first is told,
+    and a pair that shares two in a row is a candidate: near copies share long
+    rows, which would cross the network once for each n-gram of each pair.
     """
     schema = pa.schema([("slot", pa.int32()), ("pairs", pa.binary())])
     slots = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -232,10 +240,10 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
         table = _whole(batches)
         if table is None:
             return
-        gram, ident, size = _unpacked(table.column(1), _POSTING)
+        gram, ident, size, before, after = _unpacked(table.column(1), _POSTING)
         del table
         by = np.lexsort((size, gram))
-        gram, size = gram[by], size[by]
+        gram, size, before, after = gram[by], size[by], before[by], after[by].astype(np.uint16)
         names, ident = np.unique(ident[by], return_inverse=True)
         # partners of a row: later rows of its n-gram that are not too large
         start = np.searchsorted(gram, gram, side="left")
@@ -261,11 +269,13 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
             some = count[rows_with[at:stop]]
             left = np.repeat(rows_with[at:stop], some)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some)
+            ok = (ident[left] != ident[right]) & ((before[left] != before[right]) | (before[left] == 0))
+            left, right = left[ok], right[ok]
             need = np.maximum(1, np.ceil(threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9).astype(np.int64) - np.maximum(rest[left], rest[right]))
             x, y = ident[left], ident[right]
-            ok = x != y
-            found.append(_folded((np.minimum(x, y) * len(names) + np.maximum(x, y))[ok], np.ones(int(ok.sum()), np.int64), need[ok])) if ok.any() else None
-            held += len(found[-1][0]) if ok.any() else 0
+            row = (after[left] == after[right]) & (after[left] != 0)
+            found.append(_folded(np.minimum(x, y) * len(names) + np.maximum(x, y), np.where(row, need, 1), need)) if len(x) else None
+            held += len(found[-1][0]) if len(x) else 0
             at = stop
             if held > 4 * _PAIR_BLOCK:
                 found = [_folded(*map(np.concatenate, zip(*found)))]
@@ -276,6 +286,12 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
         if found:
             yield out(*_folded(*map(np.concatenate, zip(*found))))
 
+    return rows.repartition("bucket").mapInArrow(tidy(run), "slot int, pairs binary")
+
+
+def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of groups whose sizes allow the similarity and whose prefixes share enough n-grams for it."""
+
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _whole(batches)
         if table is None:
@@ -287,7 +303,7 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
         first = first[np.add.reduceat(shared[by], first) >= np.minimum.reduceat(need[by], first)]
         yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
 
-    return rows.repartition("bucket").mapInArrow(tidy(run), "slot int, pairs binary").repartition("slot").mapInArrow(tidy(enough), "a long, b long")
+    return _told(rows, threshold).repartition("slot").mapInArrow(tidy(enough), "a long, b long")
 
 
 def _bring(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, threshold: float, emit, kind: str) -> tuple[DataFrame, list[DataFrame]]:
@@ -303,7 +319,9 @@ def _bring(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, threshold
     placed = materialise(placed.select("a", "b", F.least("la", "lb").alias("lead")), "placed")
     crowd = materialise(placed.groupBy("lead").count().filter(F.col("count") > _CROWD).select(F.col("lead").alias("crowd"), F.ceil(F.col("count") / _CROWD).alias("parts")), "crowds")
     placed = placed.join(checked_broadcast(crowd, 24), F.col("lead") == F.col("crowd"), "left")
-    placed = placed.select("a", "b", F.xxhash64("lead", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))).alias("spot"))
+    # the cells of a triangle, so that each set goes to one row of them only
+    side_of = [F.pmod(F.xxhash64(end), F.coalesce(F.ceil(F.sqrt(2 * F.col("parts"))), F.lit(1))) for end in "ab"]
+    placed = placed.select("a", "b", F.xxhash64("lead", F.least(*side_of), F.greatest(*side_of)).alias("spot"))
     own = checked_broadcast(least, 24).join(reps.select(F.col("rep").alias("id"), F.col("set1").alias("name")), "id").select("id", "name")
     own = materialise(own, "own")
     wanted = placed.select(F.col("a").alias("id"), "spot").union(placed.select("b", "spot")).distinct()

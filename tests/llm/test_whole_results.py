@@ -47,6 +47,25 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch, crowd, limit):
     assert jaccard_join.classes(docs.limit(0)).count() == 0
 
 
+def test_jaccard_candidates_of_near_copies_are_told_a_few_times_only(spark):
+    """Not once for each n-gram that a pair shares, wherever its n-grams go."""
+    base = text("crowd", 400).split()
+    rows = [(i, " ".join(base[: 9 * i] + [f"own{i}"] + base[9 * i + 1 :])) for i in range(40)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for key, value in zip(old, ("60", "false")):
+            spark.conf.set(key, value)
+        docs = frame(spark, rows).select("doc_id", "text")
+        shared = jaccard_join._order(docs, 3)
+        told = jaccard_join._told(jaccard_join._prefix_rows(docs, 3, 0.7, shared), 0.7)
+        times = sum(len(r["pairs"]) for r in told.collect()) // sum(jaccard_join._PAIR)
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert 780 <= times < 780 * 15
+    assert {(r["class_id"], r["links"]) for r in jaccard_join.classes(docs).collect()} == {(0, 39)}
+
+
 CARDS = ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500 0055 5555 5559", "4012-8888-8888-1881", "3782 822463 10005"]
 PHONES = ["+33 1 23 45 67 89", "+49 30 12345678", "+1 (202) 555-0143"]
 
