@@ -155,8 +155,10 @@ def signatures(docs: DataFrame, n: int, threshold: float, shared) -> DataFrame:
     return docs.mapInArrow(tidy(run), ", ".join(f"{x} long" for x in names))
 
 
-_POSTING = (6, 8, 4, 6, 2)
+_POSTING = (6, 8, 4, 4, 6, 2)
 _PAIR = (8, 8, 4, 4)
+#: More than any two sets share.
+_NEVER = 1 << 30
 
 
 def _planes(a: np.ndarray, n: int) -> bytes:
@@ -192,20 +194,21 @@ def _unpacked(rows: pa.ChunkedArray, widths: tuple[int, ...]) -> list[np.ndarray
 
 
 def _prefix_rows(docs: DataFrame, n: int, threshold: float, shared) -> DataFrame:
-    """(bucket, rows): the prefix n-grams (upper 48 bits, document, size, n-gram before, 16 bits of that after) of a block of texts, one row for each bucket of n-grams."""
+    """(bucket, rows): the prefix n-grams (upper 48 bits, document, size, place in the order, n-gram before, 16 bits of that after) of a block of texts, one row for each bucket of n-grams."""
     schema = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, doc, g, _ in _scan(batches, n):
-            g, doc, size, keep, _, _ = _prefixes(doc, g, shared.value, threshold)
-            g, size, doc = g[keep], size[keep], doc[keep]
+            g, doc, size, keep, first, whole = _prefixes(doc, g, shared.value, threshold)
+            place = np.arange(len(g)) - np.repeat(first, whole)
+            g, size, doc, place = g[keep], size[keep], doc[keep], place[keep]
             gram = g >> np.uint64(16)
             before, after = np.zeros_like(gram), np.zeros_like(gram)
             same = doc[1:] == doc[:-1]
             before[1:] = np.where(same, gram[:-1], 0)
             after[:-1] = np.where(same, gram[1:] % np.uint64(65535) + np.uint64(1), 0)
-            yield _packed((g % np.uint64(buckets)).astype(np.int32), (gram, ids.to_numpy()[doc], size, before, after), _POSTING, schema)
+            yield _packed((g % np.uint64(buckets)).astype(np.int32), (gram, ids.to_numpy()[doc], size, place, before, after), _POSTING, schema)
 
     return docs.mapInArrow(tidy(run), "bucket int, rows binary")
 
@@ -232,6 +235,8 @@ def _told(rows: DataFrame, threshold: float) -> DataFrame:
     Of n-grams that follow each other in both prefixes only the first is told,
     and a pair that shares two in a row is a candidate: near copies share long
     rows, which would cross the network once for each n-gram of each pair.
+    After the first n-gram that a pair shares both must have as many left as
+    they need; a pair of which no place tells that is none.
     """
     schema = pa.schema([("slot", pa.int32()), ("pairs", pa.binary())])
     slots = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -240,10 +245,11 @@ def _told(rows: DataFrame, threshold: float) -> DataFrame:
         table = _whole(batches)
         if table is None:
             return
-        gram, ident, size, before, after = _unpacked(table.column(1), _POSTING)
+        gram, ident, size, place, before, after = _unpacked(table.column(1), _POSTING)
         del table
         by = np.lexsort((size, gram))
         gram, size, before, after = gram[by], size[by], before[by], after[by].astype(np.uint16)
+        left_over = size - place[by]  # of the n-gram and those after it
         names, ident = np.unique(ident[by], return_inverse=True)
         # partners of a row: later rows of its n-gram that are not too large
         start = np.searchsorted(gram, gram, side="left")
@@ -271,10 +277,11 @@ def _told(rows: DataFrame, threshold: float) -> DataFrame:
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some)
             ok = (ident[left] != ident[right]) & ((before[left] != before[right]) | (before[left] == 0))
             left, right = left[ok], right[ok]
-            need = np.maximum(1, np.ceil(threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9).astype(np.int64) - np.maximum(rest[left], rest[right]))
+            overlap = np.ceil(threshold / (1 + threshold) * (size[left] + size[right]) - 1e-9).astype(np.int64)
+            need = np.maximum(1, overlap - np.maximum(rest[left], rest[right]))
             x, y = ident[left], ident[right]
             row = (after[left] == after[right]) & (after[left] != 0)
-            found.append(_folded(np.minimum(x, y) * len(names) + np.maximum(x, y), np.where(row, need, 1), need)) if len(x) else None
+            found.append(_folded(np.minimum(x, y) * len(names) + np.maximum(x, y), np.where(row, need, 1), np.where(np.minimum(left_over[left], left_over[right]) < overlap, _NEVER, need))) if len(x) else None
             held += len(found[-1][0]) if len(x) else 0
             at = stop
             if held > 4 * _PAIR_BLOCK:

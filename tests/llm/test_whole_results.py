@@ -66,6 +66,20 @@ def test_jaccard_candidates_of_near_copies_are_told_a_few_times_only(spark):
     assert {(r["class_id"], r["links"]) for r in jaccard_join.classes(docs).collect()} == {(0, 39)}
 
 
+def test_jaccard_candidates_have_enough_left_after_what_they_share_first(spark):
+    """Sets of 70 and 100 n-grams must share all of the smaller; one n-gram somewhere in both prefixes makes no candidate."""
+    rows = []
+    for k in range(200):
+        rows.append((2 * k, " ".join([f"a{k}w{i}" for i in range(69)] + [f"s{k}w{i}" for i in range(3)])))
+        rows.append((2 * k + 1, " ".join([f"b{k}w{i}" for i in range(99)] + [f"s{k}w{i}" for i in range(3)])))
+    docs = frame(spark, rows).select("doc_id", "text")
+    shared = jaccard_join._order(docs, 3)
+    doc, g = jaccard_join.sets([t for _, t in rows], 3)
+    g, doc, _, keep, _, size = jaccard_join._prefixes(doc, g, shared.value, 0.7)
+    assert set(size) == {70, 100} and len(g[keep]) - len(set(g[keep])) >= 10
+    assert jaccard_join._candidates(jaccard_join._prefix_rows(docs, 3, 0.7, shared), 0.7).count() <= 3
+
+
 CARDS = ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500 0055 5555 5559", "4012-8888-8888-1881", "3782 822463 10005"]
 PHONES = ["+33 1 23 45 67 89", "+49 30 12345678", "+1 (202) 555-0143"]
 
