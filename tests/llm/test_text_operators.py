@@ -253,6 +253,45 @@ def test_word_graph_walks_and_scores_against_brute_force(spark):
     assert found.keys() == {i for i, v in score.items() if v >= 0.2} and found and all(math.isclose(found[i], score[i]) for i in found)
 
 
+def test_every_word_is_a_node(spark):
+    """A word in 0.5 % of the documents, none of them labelled, is judged by its company; a word of all documents is a node too."""
+    rows, labels = [], []
+    for i in range(400):
+        w = text(i, 50).split()
+        if i % 10 == 0:
+            w[5] = w[9] = w[13] = "vilk"
+        w[20] = "always"
+        rows.append((i, " ".join(w)))
+        if i < 300:
+            labels.append((i, int(i % 10 == 0)))
+    rows += [(400, "vilk grusk " * 12), (401, "grusk vilk " * 9)]
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = lexicon.induce(docs, labels)
+    assert {"vilk", "grusk"} <= set(found.word) and "always" not in found.word
+    words = {r["word"]: (r["n"], r["toxic"], r["other"]) for r in lexicon.vocabulary(docs, {i: int(i % 10 == 0) for i in range(300)}).collect()}
+    assert set(words) == {w for _, t in rows for w in t.lower().split()}
+    assert words["grusk"] == (2, 0, 0) and words["always"] == (400, 30, 270) and words["vilk"] == (42, 30, 0)
+
+
+def test_packed_pairs_are_those_of_all_words(spark, monkeypatch):
+    """Sums over packed pairs of several ranges and passes against the definition, over all words."""
+    monkeypatch.setattr(lexicon, "MERGE", 200)
+    texts = [text(i, 40) for i in range(30)] + ["rare word", "one", "again again again", "a lot " * 700]
+    count = Counter(w for t in texts for w in t.lower().split())
+    names = sorted(count, key=lambda w: (-count[w], w))
+    hashes = np.array([int(Words([w]).hash[0]) for w in names], np.uint64)
+    docs = frame(spark, list(enumerate(texts)))
+    graph = lexicon.packed(docs, hashes, np.array([count[w] for w in names]), 6)
+    assert len(graph._parts) > 1
+    weight = np.zeros((len(names), len(names)))
+    for (x, y), v in brute_graph(texts, set(names), 6).items():
+        weight[names.index(x), names.index(y)] = v
+    mass = lexicon.packed_step(graph, len(names), None)(np.ones((1, len(names))))[0]
+    some = np.random.default_rng(1).random((2, len(names)))
+    got = lexicon.packed_step(graph, len(names), mass)(some)
+    assert np.allclose(got, some @ weight, rtol=1e-9, atol=1e-9) and got.any()
+
+
 def test_lexicon_takes_rare_words_and_rates_no_copies_twice(spark):
     """A toxic word in 1.2 % of the documents, and a clean text that was copied among the toxic ones under another label."""
     rows, toxic = [], {}
