@@ -292,6 +292,29 @@ def test_packed_pairs_are_those_of_all_words(spark, monkeypatch):
     assert np.allclose(got, some @ weight, rtol=1e-9, atol=1e-9) and got.any()
 
 
+def test_word_graph_keeps_few_pairs_and_gives_the_sums_of_all(spark, monkeypatch):
+    """Pairs seen once are summed over the texts and are not kept unless their weight is cut at 0; the sums are those of the definition."""
+    monkeypatch.setattr(lexicon, "MERGE", 200)
+    monkeypatch.setattr(lexicon, "SPAN", 64)
+    texts = [text(i, 40) for i in range(30)] + [" ".join(f"rare{i}x{k}" for k in range(30)) for i in range(9)] + ["rare word", "one", "again again again", "a lot " * 700]
+    count = Counter(w for t in texts for w in t.lower().split())
+    names = sorted(count, key=lambda w: (-count[w], w))
+    hashes = np.array([int(Words([w]).hash[0]) for w in names], np.uint64)
+    docs = frame(spark, list(enumerate(texts)) + ODD[:2])
+    want = brute_graph(texts, set(names), 6)
+    weight = np.zeros((len(names), len(names)))
+    for (x, y), v in want.items():
+        weight[names.index(x), names.index(y)] = v
+    graph, step = lexicon.word_graph(docs, hashes, 6)
+    some = np.random.default_rng(1).random((2, len(names)))
+    assert np.allclose(step(some), some @ weight, rtol=1e-9, atol=1e-9)
+    kept = set()
+    for r in graph.filter("low >= 0").collect():
+        degree, near_by, _ = lexicon._unpack(bytes(r["pairs"]))
+        kept |= {(names[x], names[y]) for x, y in zip(np.repeat(r["low"] + np.arange(len(degree)), degree), near_by)}
+    assert kept and not any("rare" in x + y for x, y in kept) and sum("rare" in x + y for x, y in want) > 2000
+
+
 def test_lexicon_takes_rare_words_and_rates_no_copies_twice(spark):
     """A toxic word in 1.2 % of the documents, and a clean text that was copied among the toxic ones under another label."""
     rows, toxic = [], {}
