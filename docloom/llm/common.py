@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def local_folder(spark: SparkSession) -> str | None:
+    """The shared folder as a path of the file system, if it is one."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: its lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession

@@ -8,14 +8,17 @@ characters are aggregated on the side of the scan.
 Counts, continuation counts, discounts and back-off weights come from joins
 and aggregations that are sharded by (lang, gram).  The finished table of
 log-probabilities travels to the scan of the documents while it is under the
-broadcast limit; beyond it, each document's distinct grams are joined with the
-shards of each order.  A tenth of the trusted documents, chosen by a hash of
+broadcast limit; beyond it, it is a file in the shared folder, filled shard by
+shard, which the scan maps into memory.  Only where that folder is none of the
+file system are each document's distinct grams joined with the shards of each
+order, which moves many times the documents' size.  A tenth of the trusted documents, chosen by a hash of
 the id, trains nothing and sets the threshold: that quantile of its
 perplexities in the language, for documents of about the same length.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, bounded_batches, checked_broadcast, keep_ids, materialise, small_enough, tidy
+from docloom.llm.common import BROADCAST_BYTES, bounded_batches, checked_broadcast, discard, keep_ids, local_folder, materialise, small_enough, tidy
 from docloom.llm.textvec import code_points, text_parts
 
 N = 5
@@ -40,6 +43,8 @@ _ROW_BYTES = 32
 #: The same for a side of a join while the model is built.
 _SIDE_BYTES, _SIDE_LIMIT = 100, 16 << 20
 _HELD = 6_000_000
+#: Rows of the model in a shard of a table that is filled shard by shard.
+_SHARD_ROWS = 1 << 18
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _LANG = np.uint64(0x589965CC75374CC3)
 _ORDER = np.uint64(0x1D8E4E27C47D124F)
@@ -144,8 +149,8 @@ def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str], how: str = "inner
     return a.join(b, on, how).drop(*(b[y] for _, y in pairs))
 
 
-def train(docs: DataFrame, n: int = N) -> DataFrame:
-    """(lang, gram, logp, backoff) of every gram of 1 to n symbols and every context, in the manner of an ARPA file.
+def train(docs: DataFrame, n: int = N) -> tuple[DataFrame, list[DataFrame]]:
+    """(lang, gram, logp, backoff) of every gram of 1 to n symbols and every context, in the manner of an ARPA file; and the written tables that it is read from.
 
     One row has the logp of a gram, another the backoff of the same as a
     context.  The empty gram's logp is that of a symbol never seen.
@@ -154,13 +159,15 @@ def train(docs: DataFrame, n: int = N) -> DataFrame:
     tables = [counts]
     for k in range(n - 1, 0, -1):  # continuation counts: kinds of symbols before
         tables.append(materialise(tables[-1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), f"continued{k}"))
-    lower, out = None, None
+    lower, out, used = None, None, [*tables]
     for k, table in enumerate(reversed(tables), 1):
         discount = materialise(_discounts(table), f"discounts{k}")
         c, few = F.col("c"), lambda *x: F.sum((F.col("c") == x[0] if len(x) == 1 else F.col("c") >= x[0]).cast("long"))
         contexts = table.groupBy("lang", F.substring("gram", 1, k - 1).alias("ctx")).agg(F.sum("c").alias("total"), few(1).alias("m1"), few(2).alias("m2"), few(3, 4).alias("m3"))
         contexts = _same(contexts, discount.withColumnRenamed("lang", "l2"), ("lang", "l2"))
-        contexts = materialise(contexts, f"contexts{k}").withColumn("gamma", (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total"))
+        contexts = materialise(contexts, f"contexts{k}")
+        used += [discount, contexts]
+        contexts = contexts.withColumn("gamma", (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total"))
         own = contexts.select(F.col("lang").alias("l3"), "ctx", "total", "gamma", "d1", "d2", "d3", (F.col("m1") + F.col("m2") + F.col("m3")).alias("kinds"))
         p = _same(table.withColumn("c1", F.substring("gram", 1, k - 1)), own, ("lang", "l3"), ("c1", "ctx"))
         d = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -172,13 +179,14 @@ def train(docs: DataFrame, n: int = N) -> DataFrame:
             p = _same(p.withColumn("t1", F.substring("gram", 2, k - 1)), side, ("lang", "l4"), ("t1", "tail"))
             below = F.col("below")
         p = materialise(p.select("lang", "gram", ((c - d) / F.col("total") + F.col("gamma") * below).alias("p")), f"p{k}")
+        used.append(p)
         rows = p.select("lang", "gram", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff"))
         if k > 1:
             rows = rows.union(contexts.select("lang", "ctx", F.lit(None).cast("double"), F.log("gamma")))
         else:
             rows = rows.union(unknown)
         out, lower = rows if out is None else out.union(rows), p
-    return out
+    return out, used
 
 
 def _gram_hashes(model: DataFrame, n: int) -> DataFrame:
@@ -290,6 +298,55 @@ class Table:
         return h
 
 
+class MappedTable(Table):
+    """The same table in files: whoever scores with it maps them, and no process holds it whole."""
+
+    COLUMNS = {"key": np.uint64, "full": bool, "logp": np.float32, "backoff": np.float32}
+
+    def __init__(self, shards: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], keys: int, unknown: dict[int, float], n: int, folder: str):
+        """shards: keys, each once, logp and backoff (nan: none), in order of the keys; keys: how many in all."""
+        self.n, self.unknown, self.folder = n, unknown, folder
+        bits = max(10, int(np.ceil(np.log2(2 * keys + 1))))
+        self.shift = np.uint64(64 - bits)
+        os.makedirs(folder)
+        files = {name: open(f"{folder}/{name}", "wb") for name in self.COLUMNS}
+        at = 0  # the first slot that is not written
+
+        def write(size: int, slot: np.ndarray, **values: np.ndarray) -> None:
+            for name, kind in self.COLUMNS.items():
+                column = np.full(size, np.nan, kind) if kind is np.float32 else np.zeros(size, kind)
+                if len(slot):
+                    column[slot] = values[name]
+                files[name].write(column.tobytes())
+
+        for key, logp, backoff in shards:
+            if not len(key):
+                continue
+            step = np.arange(len(key))
+            slot = (key >> self.shift).astype(np.int64) - step
+            slot[0] = max(slot[0], at)
+            slot = np.maximum.accumulate(slot) + step
+            write(int(slot[-1]) + 1 - at, slot - at, key=key, full=np.ones(len(key), bool), logp=logp, backoff=backoff)
+            at = int(slot[-1]) + 1
+        while at <= 1 << bits:  # the last one stays free
+            size = min((1 << bits) + 1 - at, 1 << 20)
+            write(size, np.zeros(0, np.int64))
+            at += size
+        write(1, np.zeros(0, np.int64))
+        for f in files.values():
+            f.close()
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name not in MappedTable.COLUMNS:
+            raise AttributeError(name)
+        column = np.memmap(f"{self.folder}/{name}", dtype=self.COLUMNS[name], mode="r").view(np.ndarray)
+        self.__dict__[name] = column
+        return column
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in self.COLUMNS}
+
+
 def _score_blocks(shared, langs: list, batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Of each block: where it is, perplexities (nan: none) and lengths."""
     for part, texts in text_parts(batch, column):
@@ -302,6 +359,45 @@ def _broadcast(model: DataFrame, n: int):
     return model.sparkSession.sparkContext.broadcast(Table(_gram_hashes(model, n).toArrow(), n))
 
 
+def _mapped(model: DataFrame, n: int, folder: str):
+    """The table of a model of any size, in files of a folder that all executors share; the driver holds a shard at a time."""
+    spark = model.sparkSession
+    bits = max(0, int(np.ceil(np.log2(max(1, model.count()) / _SHARD_ROWS))))
+    schema = pa.schema([("shard", pa.int64()), ("keys", pa.int64()), ("key", pa.binary()), ("logp", pa.binary()), ("backoff", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        key = rows.column("key").to_numpy().view(np.uint64)
+        by = np.argsort(key)
+        key = key[by]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        row = np.cumsum(new) - 1  # logp and backoff come in rows of their own
+        key, columns = key[new], []
+        for name in ("logp", "backoff"):
+            values = rows.column(name).to_numpy()[by]
+            there = np.flatnonzero(~np.isnan(values))
+            columns.append(np.full(len(key), np.nan, np.float32))
+            columns[-1][row[there]] = values[there]
+        shard = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+        first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        parts = [np.split(x, first[1:]) for x in (key, *columns)]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array([len(x) for x in parts[0]], pa.int64()), *(pa.array([x.tobytes() for x in some], pa.binary()) for some in parts)], schema=schema)
+
+    hashed = materialise(_gram_hashes(model, n), "hashed")
+    unknown = {r["key"] & 0xFFFFFFFFFFFFFFFF: r["logp"] for r in hashed.filter("empty").select("key", "logp").collect()}
+    of = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long")
+    shards = hashed.filter("NOT empty").withColumn("shard", of).repartition("shard").drop("shard")
+    shards = materialise(shards.mapInArrow(tidy(run), "shard long, keys long, key binary, logp binary, backoff binary"), "shards")
+    keys = shards.agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0]
+    whole = (tuple(np.frombuffer(bytes(r[c]), kind) for c, kind in (("key", np.uint64), ("logp", np.float32), ("backoff", np.float32))) for k in range(1 << bits) for r in shards.filter(F.col("shard") == k).collect())
+    table = MappedTable(whole, keys, unknown, n, f"{folder}/table-{uuid.uuid4().hex}")
+    discard(hashed, shards)
+    return spark.sparkContext.broadcast(table)
+
+
 def _scan(docs: DataFrame, shared) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("perplexity", pa.float64()), ("band", pa.int64())])
 
@@ -363,8 +459,14 @@ class Classifier:
         bounded_batches(trusted.sparkSession)
         trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter(F.length("text") > 0)
         self.n = n
-        self.model = materialise(train(trusted.filter(~held_out(F.col("doc_id"))), n), "model")
-        self.shared = _broadcast(self.model, n) if small_enough(self.model, _ROW_BYTES, limit) else None
+        model, used = train(trusted.filter(~held_out(F.col("doc_id"))), n)
+        self.model = materialise(model, "model")
+        discard(*used)
+        folder = local_folder(trusted.sparkSession)
+        if small_enough(self.model, _ROW_BYTES, limit):
+            self.shared = _broadcast(self.model, n)
+        else:
+            self.shared = _mapped(self.model, n, folder) if folder else None
         scored = self.score(trusted.filter(held_out(F.col("doc_id")))).filter("perplexity IS NOT NULL AND NOT isnan(perplexity)")
         at = F.percentile_approx("perplexity", quantile, 10_000)
         scored = materialise(scored, "held-out")
