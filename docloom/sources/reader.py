@@ -24,7 +24,7 @@ class Registry:
         self._parsers: dict[str, tuple[Parser, frozenset[str]]] = {}
         self._extensions: dict[str, list[Callable[[Structure, str | bytes], None]]] = {}
         self.register("markdown", markdown.parse)
-        self.register("html", html.parse, "readability", "base_url", "max_depth")
+        self.register("html", html.parse, "readability", "base_url", "max_depth", "open_references")
         self.register("json", data.parse_json)
         self.register("jsonl", data.parse_jsonl, "max_lines")
         self.register("yaml", data.parse_yaml)
