@@ -179,9 +179,9 @@ _add("summary", _BASE + "SELECT doc_id, lines AS line_count, nations AS n_code_b
 
 # JSON, JSON Lines, YAML
 _ORDER = "FROM orders JOIN customer ON o_custkey = c_custkey"
-_add("json_headings", f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, unnest(['customer', 'market', 'segment', 'name', 'key', 'title']) AS text, unnest([1, 2, 3, 2, 1, 1])::BIGINT AS level {_ORDER}")(lambda s, d: C.order_json(s, d).headings.select("doc_id", "text", "level"))
-_add("json_title", f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderpriority AS title {_ORDER}")(lambda s, d: C.order_json(s, d).documents.select("doc_id", "title"))
-_add("json_sections", f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, unnest(['customer', 'key', 'title']) AS title {_ORDER}")(lambda s, d: query(C.order_json(s, d), ".sections | .title").withColumnRenamed("value", "title"))
+_add("json_headings", f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, unnest(['customer', 'market', 'segment', 'name', 'key', 'title']) AS text, unnest([1, 2, 3, 2, 1, 1])::BIGINT AS level {_ORDER}")(lambda s, d: C.order_json(s, d, "headings").headings.select("doc_id", "text", "level"))
+_add("json_title", f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderpriority AS title {_ORDER}")(lambda s, d: C.order_json(s, d, "headings").documents.select("doc_id", "title"))
+_add("json_sections", f"SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, unnest(['customer', 'key', 'title']) AS title {_ORDER}")(lambda s, d: query(C.order_json(s, d, "sections"), ".sections | .title").withColumnRenamed("value", "title"))
 _add("jsonl_table", "SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation")(lambda s, d: C.nation_jsonl(s, d).tables.select("doc_id", F.explode("rows").alias("r")).select("doc_id", F.col("r")[0].alias("key"), F.col("r")[1].alias("name")))
 _add("jsonl_title", "SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, 'Array (' || count(*) || ' items)' AS title FROM nation GROUP BY n_regionkey")(lambda s, d: C.nation_jsonl(s, d).documents.select("doc_id", "title"))
 _add("yaml_headings", "SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, unnest(['name', 'place', 'key', 'region']) AS text, unnest([1, 1, 2, 2])::BIGINT AS level FROM nation")(lambda s, d: C.nation_yaml(s, d).headings.select("doc_id", "text", "level"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +27,9 @@ class Registry:
         self._extensions: dict[str, list[Callable[[Structure, str | bytes], None]]] = {}
         self.register("markdown", markdown.parse)
         self.register("html", html.parse, "readability", "base_url", "max_depth", "open_references")
-        self.register("json", data.parse_json)
-        self.register("jsonl", data.parse_jsonl, "max_lines")
-        self.register("yaml", data.parse_yaml)
+        self.register("json", data.parse_json, "want", "readable")
+        self.register("jsonl", data.parse_jsonl, "max_lines", "want", "readable")
+        self.register("yaml", data.parse_yaml, "want", "readable")
         self.register("pdf", pdf.parse, "infer", "detect_tables", "min_ratio")
 
     def register(self, name: str, parser: Parser, *options: str) -> None:
@@ -44,6 +46,8 @@ class Registry:
 
     def parse(self, name: str, content: bytes, **options) -> Structure:
         parser, known = self._parsers[name]
+        if self._extensions.get(name):  # they get all that is found
+            options = {k: v for k, v in options.items() if k not in ("want", "readable")}
         text = content if name == "pdf" else content.decode("utf-8", "replace")
         out = parser(text, **{k: v for k, v in options.items() if k in known})
         for extension in self._extensions.get(name, []):
@@ -57,14 +61,29 @@ def schema(want: list[str], keep: list[T.StructField]) -> T.StructType:
     return T.StructType(fields + [T.StructField(k, T.ArrayType(ELEMENTS[k])) for k in want])
 
 
-def parse_documents(df: DataFrame, content: str = "content", path: str = "path", format: str | None = None, default: str = "markdown", want: list[str] | None = None, strict: bool = False, registry: Registry | None = None, **options) -> Corpus:
+def _lists(values: list[list[dict]], kind: pa.ListType) -> pa.Array:
+    """An array of lists of structs, made column by column, once for a list that comes up again; a key that a struct lacks is null."""
+    index: dict[int, int] = {}
+    which = [index.setdefault(id(v), len(index)) for v in values]
+    if 2 * len(index) < len(values):
+        by_id = {id(v): v for v in values}
+        return _lists([by_id[k] for k in index], kind).take(pa.array(which))
+    flat = list(chain.from_iterable(values))
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values], dtype=np.int64))).astype(np.int32)
+    fields = list(kind.value_type)
+    columns = [pa.array([x.get(f.name) for x in flat], f.type) for f in fields]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=fields), type=kind)
+
+
+def parse_documents(df: DataFrame, content: str = "content", path: str = "path", format: str | None = None, default: str = "markdown", want: list[str] | None = None, strict: bool = False, registry: Registry | None = None, readable: bool = True, **options) -> Corpus:
     """Parses a column of texts or bytes, which is called source from then on; the other columns of df stay.
 
     Columns whose names the corpus needs for itself (format, source, title,
     headings and so on, in any case) are kept together in a struct, `input`.
     format forces one for all rows; else it is told from path and content, and
     is `default` where no parser is registered for it.  want names the element
-    tables that will be asked for, so that no others leave the parser.  A
+    tables that will be asked for, so that no others leave the parser; without
+    readable, neither does readable_text, which then is null.  A
     document that can't be parsed is empty and has its parse_error set, or
     fails the job if strict.  A null content is an empty document.
     """
@@ -83,6 +102,7 @@ def parse_documents(df: DataFrame, content: str = "content", path: str = "path",
     out = schema(want, df.schema.fields)
     added = to_arrow_schema(T.StructType(out.fields[len(df.columns) :]))
     at_path = df.columns.index(path)
+    options |= {"want": frozenset(want), "readable": readable}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +118,11 @@ def parse_documents(df: DataFrame, content: str = "content", path: str = "path",
                     if strict:
                         raise ValueError(f"{p}: not {kind}: {e}") from e
                     s = Structure(parse_error=f"{type(e).__name__}: {e}"[:500])
+                if not readable:
+                    s.readable_text = None
                 for column, value in zip(made, [kind, *(getattr(s, k) for k in SCALARS), *(getattr(s, k) for k in want)]):
                     column.append(value)
-            columns = [pa.array(v, f.type) for v, f in zip(made, added)]
+            columns = [_lists(v, f.type) if pa.types.is_list(f.type) else pa.array(v, f.type) for v, f in zip(made, added)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added.names])
 
     return Corpus(df.mapInArrow(run, out).withColumn("source", F.col("source").cast("string")), want)
